@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternion.llm import simhash, substring
+from ternion.llm import digest, simhash, substring
 from ternion.llm.common import table
 
 
@@ -16,13 +16,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edit_probe(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op5_substring": op5_substring}
+    return {"op2_simhash": op2_simhash, "op4_digest": op4_digest, "op5_substring": op5_substring}
 
 
 def oracle_sql() -> dict[str, str]:
