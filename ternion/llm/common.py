@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that separate words, and the class of the others.
@@ -42,7 +42,7 @@ def n_words(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.size(F.split(bare, SPACE_CLASS + "+", -1))).otherwise(0).cast("long")
 
 
-def numbered(df: DataFrame, keys: list[str], name: str, group: str | None = None, weight: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], name: str, group: str | None = None, weight: str | None = None, nulls_last: bool = False) -> DataFrame:
     """Rows of df with their place in the order of ``keys``, found without one task seeing all rows.
 
     The rows are dealt out by ranges of the keys and sorted there; a row's place is its place in
@@ -52,13 +52,11 @@ def numbered(df: DataFrame, keys: list[str], name: str, group: str | None = None
 
     Rows that agree in all keys may change places among each other; keys should tell rows apart.
     """
-    order = [F.col(k).asc_nulls_last() if k == group else F.col(k).asc_nulls_first() for k in keys]
+    order = [F.col(k).asc_nulls_last() if nulls_last else F.col(k).asc_nulls_first() for k in keys]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     at = saved(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
     at = at.withColumn("_range", F.shiftright("_at", 33))
     step = F.col(weight) if weight else F.lit(1).cast("long")
-    from pyspark.sql import Window
-
     by = ["_range", group] if group else ["_range"]
     inner = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     ranges = at.groupBy(*by).agg(F.sum(step).alias("_sum"))

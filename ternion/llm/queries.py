@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternion.llm import digest, simhash, substring
+from ternion.llm import digest, mixing, sharding, simhash, substring, urls
 from ternion.llm.common import table
 
 
@@ -25,9 +25,29 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_digest": op4_digest, "op5_substring": op5_substring}
+    return {
+        "op2_simhash": op2_simhash,
+        "op4_digest": op4_digest,
+        "op5_substring": op5_substring,
+        "op7_urls": op7_urls,
+        "op8_mixing": op8_mixing,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_urls": urls.SQL, "op8_mixing": mixing.SQL}
