@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternion.llm import digest, mixing, sharding, simhash, substring, urls
+from ternion.llm import decontaminate, digest, mixing, quality, sharding, simhash, substring, urls
 from ternion.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their evidence and posteriors."""
+    found = ["evidence", "host_posterior", "path_posterior", "posterior"]
+    return quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=found).select("doc_id", *found)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash").withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edit_probe(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -40,7 +52,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
+        "op3_decontaminate": op3_decontaminate,
         "op4_digest": op4_digest,
         "op5_substring": op5_substring,
         "op7_urls": op7_urls,
