@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternion.llm import bytewords
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies costs one posting per key however large it is.
 
     Null or empty texts have fingerprint 0 and are linked like any other.  A null id belongs to
-    its component but is never its least id unless the component has no other (then null).
+    its component but is its least id only where the component has no other (then null).
     Repeated rows give repeated results; an empty table gives none; other columns are ignored.
     """
     each = saved(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
@@ -183,3 +183,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def hex_fingerprint(fp):
     """16 lower-case hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: one row for each component.
+
+    That is the row with the component's least id; a null id counts as the largest.  Of several rows
+    with that id (repeated ones, or different texts in one component) the one with the least hash stays.
+    """
+    last = (1 << 63) - 1
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(last))).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    found = near_duplicates(keyed, "_id", "_text", shingle_words).filter("id = component_id").select(F.col("id").alias("_keep"), "fp").distinct()
+    # an id with texts of two components stands for both; rows are told apart by their text
+    several = found.groupBy("_keep").agg(F.count("*").alias("_groups"))
+    rows = keyed.join(several, F.col("_id") == F.col("_keep")).withColumn("_hash", F.xxhash64("_text"))
+    number = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    return rows.withColumn("_number", number).filter(F.col("_number") <= F.col("_groups")).select(*docs.columns)
