@@ -160,6 +160,12 @@ def revealing(docs: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = bitmap.value
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            terms, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return terms, np.bincount(back, np.concatenate([n for _, n in held]), len(terms)).astype(np.int64)
+
         for batch in batches:
             for part in bytewords.slices(batch, "text"):
                 data, at = bytewords.buffer(part.column("text"))
@@ -168,8 +174,13 @@ def revealing(docs: DataFrame) -> DataFrame:
                 hashed = bytewords.word_hashes(low, starts, ends)
                 hit = _in_filter(hashed, maps)
                 pairs = np.unique(np.column_stack([hashed[hit], row[hit].astype(np.uint64)]), axis=0)
-                terms, n = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+                held.append(np.unique(pairs[:, 0], return_counts=True))
+                size += len(held[-1][0])
+                if size > 1 << 20:  # a task gives each term once, however much text it reads
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+        terms, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
 
     if met.isEmpty():
         return spark.createDataFrame([], "term long, entities long, disclosure double")
