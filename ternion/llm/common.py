@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ternion.plans.checkpoints import saved, shared_dir
+
 #: Fixed value: the characters that separate words, and the class of the others.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-#: Used only where the session names no folder, as in tests.
-OWN_SHARED_DIR = "file:///tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, else our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN_SHARED_DIR
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns what was written.
-
-    This cuts the lineage, is computed once however often it is read, and outlives executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ternion-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """How many words ``[^\\x20\\x09-\\x0D]+`` a text has; null: 0."""
     bare = F.btrim(text, F.lit(SPACE_CHARS))
@@ -74,3 +55,6 @@ def numbered(df: DataFrame, keys: list[str], name: str, group: str | None = None
     local = at.withColumn("_before", F.coalesce(F.sum(step).over(inner), F.lit(0)))
     full = local.join(base, meet, "left").withColumn("position", F.col("_before") + F.coalesce("_base", F.lit(0)))
     return full.select(*df.columns, "position")
+
+
+__all__ = ["numbered", "n_words", "saved", "shared_dir", "table"]

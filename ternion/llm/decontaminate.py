@@ -64,21 +64,23 @@ def _each_window(df: DataFrame, words: str, n: int) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, hash, place, n, windows, marks, values) for each template window of each item.
+    """(item, version, hash, place, n, windows, marks, values) for each template window of each item.
 
-    Items shorter than a window are one window.  Windows with fewer than LITERAL words besides
+    Texts with the same id are versions of an item; equal ones count once.  Items shorter than a window are one window.  Windows with fewer than LITERAL words besides
     placeholders are left out; an item without others can't be found.
     """
-    items = benchmark.select(F.col(id_col).alias("item"), slots(F.col(text_col)).alias("values")).filter("size(values) > 0")
+    items = benchmark.select(F.col(id_col).alias("item"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).distinct()
+    items = items.select("item", "version", slots(F.col("text")).alias("values")).filter("size(values) > 0")
     items = items.withColumn("marks", F.transform("values", _mark)).withColumn("words", F.zip_with("marks", "values", lambda m, v: F.coalesce(m, v)))
     n = F.least(F.lit(WORDS), F.size("words"))
     each = items.withColumn("n", n).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))))
     part = lambda c: F.slice(c, F.col("place") + 1, F.col("n"))
-    each = each.select("item", "place", "n", part("marks").alias("marks"), part("values").alias("values"), part("words").alias("words"))
+    each = each.select("item", "version", "place", "n", part("marks").alias("marks"), part("values").alias("values"), part("words").alias("words"))
     each = each.filter(F.size(F.filter("marks", lambda m: m.isNull())) >= LITERAL)
     hashed = F.coalesce(*(F.when(F.col("n") == k, F.xxhash64(F.lit(k), *(F.get("words", F.lit(i)) for i in range(k)))) for k in range(1, WORDS + 1)))
-    whole = each.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("windows"))
-    return each.withColumn("hash", hashed).join(whole, F.col("item").eqNullSafe(F.col("_item"))).select("item", "hash", "place", "n", "windows", "marks", "values")
+    whole = each.groupBy(F.col("item").alias("_item"), F.col("version").alias("_version")).agg(F.count("*").alias("windows"))
+    same = F.col("item").eqNullSafe(F.col("_item")) & (F.col("version") == F.col("_version"))
+    return each.withColumn("hash", hashed).join(whole, same).select("item", "version", "hash", "place", "n", "windows", "marks", "values")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -103,34 +105,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bounded = sum(r[1] for r in shape) <= BROADCAST_WINDOWS
     side = F.broadcast if bounded else lambda df: df
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    lookup = items.select("hash", F.col("item"), "place", "windows")
+    lookup = items.select("hash", "item", "version", "place", "windows")
 
     made = rows.select("id", "text_hash", template(F.col("text")).alias("words"))
     hits = None
     for n, _ in sorted(shape):
         each = _each_window(made, "words", n).select("id", "text_hash", _hash(F.col("words"), F.col("at"), n).alias("_hash"))
-        met = each.join(side(lookup), F.col("_hash") == F.col("hash")).select("id", "text_hash", "item", "place", "windows")
+        met = each.join(side(lookup), F.col("_hash") == F.col("hash")).select("id", "text_hash", "item", "version", "place", "windows")
         hits = met if hits is None else hits.union(met)
-    tally = hits.distinct().groupBy("id", "text_hash", "item", "windows").agg(F.count("*").alias("matched"))
+    tally = hits.distinct().groupBy("id", "text_hash", "item", "version", "windows").agg(F.count("*").alias("matched"))
     held = saved(tally.filter(F.col("matched") >= CONTAINED * F.col("windows")), "held")
 
     # the texts of the few documents that hold an item, with the values of their placeholders
     few = held.select(F.col("text_hash").alias("_few")).distinct()
     valued = rows.join(few, F.col("text_hash") == F.col("_few"), "left_semi").dropDuplicates(["id", "text_hash"]).select("id", "text_hash", slots(F.col("text")).alias("doc_values"))
     valued = valued.withColumn("words", F.transform("doc_values", lambda v: F.coalesce(_mark(v), v)))
-    slotted = items.filter(F.exists("marks", lambda m: m.isNotNull())).select(F.col("item").alias("_item"), "hash", "place", "marks", "values")
+    slotted = items.filter(F.exists("marks", lambda m: m.isNotNull())).select(F.col("item").alias("_item"), F.col("version").alias("_version"), "hash", "place", "marks", "values")
     pairs = None
     for n, _ in sorted(shape):
         each = _each_window(valued, "words", n).select("id", "text_hash", "at", F.slice("doc_values", F.col("at") + 1, n).alias("doc_values"), _hash(F.col("words"), F.col("at"), n).alias("_hash"))
         met = each.join(side(slotted), F.col("_hash") == F.col("hash"))
         both = F.arrays_zip("marks", "values", "doc_values")
-        met = met.select("id", "text_hash", "_item", (F.col("at") - F.col("place")).alias("shift"), F.explode(both).alias("slot")).filter("slot.marks is not null")
-        met = met.select("id", "text_hash", "_item", "shift", F.col("slot.values").alias("value"), F.col("slot.doc_values").alias("doc_value"))
+        met = met.select("id", "text_hash", "_item", "_version", (F.col("at") - F.col("place")).alias("shift"), F.explode(both).alias("slot")).filter("slot.marks is not null")
+        met = met.select("id", "text_hash", "_item", "_version", "shift", F.col("slot.values").alias("value"), F.col("slot.doc_values").alias("doc_value"))
         pairs = met if pairs is None else pairs.union(met)
-    filled = pairs.groupBy("id", "text_hash", "_item", "shift", "value", "doc_value").agg(F.count("*").alias("n"))
-    filled = filled.groupBy("id", "text_hash", "_item", "shift", "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("own"))
-    filled = filled.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_item").agg(F.sum("n").alias("slots"), F.sum("most").alias("most"), F.sum("own").alias("own"))
-    found = held.join(filled, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & F.col("item").eqNullSafe(F.col("_item")), "left")
+    filled = pairs.groupBy("id", "text_hash", "_item", "_version", "shift", "value", "doc_value").agg(F.count("*").alias("n"))
+    filled = filled.groupBy("id", "text_hash", "_item", "_version", "shift", "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("own"))
+    filled = filled.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_item", "_version").agg(F.sum("n").alias("slots"), F.sum("most").alias("most"), F.sum("own").alias("own"))
+    found = held.join(filled, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & F.col("item").eqNullSafe(F.col("_item")) & (F.col("version") == F.col("_version")), "left")
     agreement = F.when(F.col("slots") > 0, F.col("most") / F.col("slots")).otherwise(1.0)
     found = found.withColumn("slot_agreement", agreement).filter(F.col("slot_agreement") >= CONSISTENT)
     return found.select("id", "text_hash", "item", "windows", "matched", (F.col("matched") / F.col("windows")).alias("containment"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), "slot_agreement", F.coalesce(F.col("own") == F.col("slots"), F.lit(True)).alias("verbatim"))
@@ -139,5 +141,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
     bad = contaminated(docs, benchmark, id_col, text_col, item_col).select(F.col("text_hash").alias("_bad")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    return keyed.join(bad, F.col("_text_hash") == F.col("_bad"), "left_anti").drop("_text_hash")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("hash"))
+    return keyed.join(bad, F.col("hash") == F.col("_bad"), "left_anti").select("row.*")

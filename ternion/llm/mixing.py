@@ -67,20 +67,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int
     The columns are those of docs.  A shortened text is the beginning of the text with the words
     taken, and ``chars_col`` (if docs has it) is its new length.
     """
-    taken = mix(docs, weights, most_epochs, id_col, text_col, source_col).filter("taken > 0").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = mix(docs, weights, most_epochs, id_col, text_col, source_col).filter("taken > 0").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "size", "taken")
     # rows that agree in id, text and source are told apart by a number on either side
-    number = F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy(F.col("_taken").desc()))
-    taken = taken.withColumn("_number", number)
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
-    rows = rows.withColumn("_order", F.row_number().over(Window.partitionBy(id_col, "_key", source_col).orderBy(F.lit(1))))
-    rows = rows.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_order") == F.col("_number")))
-    cut = F.col("_taken") % F.col("_size")
-    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size"))), lambda i: F.when(i * F.col("_size") <= F.col("_taken"), F.col("_size")).otherwise(cut))
-    rows = rows.withColumn("_words", F.explode(copies))
-    begin = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({SPACE_CLASS}*{WORD_CLASS}+)"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), "")
-    short = F.col("_words") < F.col("_size")
-    out = [F.when(short, begin).otherwise(F.col(c)).alias(c) if c == text_col else F.when(short, F.length(begin).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
-    return rows.select(*out)
+    taken = taken.withColumn("_number", F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy(F.col("taken").desc())))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(source_col).alias("source"))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("id", "hash", "source").orderBy(F.lit(1))))
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("number") == F.col("_number")))
+    cut = F.col("taken") % F.col("size")
+    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda i: F.when(i * F.col("size") <= F.col("taken"), F.col("size")).otherwise(cut))
+    rows = rows.select("row", "size", F.explode(copies).alias("words"))
+    begin = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit(f"({SPACE_CLASS}*{WORD_CLASS}+)"), F.lit(1)), F.lit(1), F.col("words").cast("int")), "")
+    short = F.col("words") < F.col("size")
+    new = {text_col: begin} | ({chars_col: F.length(begin).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return rows.select(*((F.when(short, new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 #: DuckDB SQL for op8_mixing.

@@ -265,6 +265,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def redact(text, spans):  # only for texts that have spans
         return _redacted(text, spans)
 
-    both = docs.withColumn("_key", F.xxhash64(text_col)).join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    new = F.when(F.col("_spans").isNotNull(), redact(F.col(text_col), F.coalesce("_spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")))).otherwise(F.col(text_col))
-    return both.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    both = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    new = F.when(F.col("_spans").isNotNull(), redact("text", F.coalesce("_spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")))).otherwise(F.col("text"))
+    return both.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

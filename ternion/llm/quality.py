@@ -169,37 +169,32 @@ def sites(scores: DataFrame) -> tuple[DataFrame, float]:
     return joined.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("s").alias("s_sum"), F.col("n").alias("s_n"), "host_posterior", F.lit(inner).alias("s_strength")), mu
 
 
-def _logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
-
-
-def _judged(scored: DataFrame, site: DataFrame, mu: float) -> DataFrame:
-    """Adds path_posterior (of the document's path without itself) and posterior to rows with _p, _host, _path."""
-    mu = min(max(mu, 0.001), 0.999)
-    both = scored.join(site, F.col("_host").eqNullSafe(F.col("s_host")) & F.col("_path").eqNullSafe(F.col("s_path")))
-    others = (F.col("s_sum") - F.col("_p") + F.col("s_strength") * F.col("host_posterior")) / (F.col("s_n") - 1 + F.col("s_strength"))
-    both = both.withColumn("path_posterior", F.greatest(F.lit(0.001), F.least(F.lit(0.999), others)))
-    z = _logit(F.col("_p")) + _logit(F.col("path_posterior")) - _logit(F.lit(mu))
-    return both.withColumn("posterior", 1 / (1 + F.exp(-z)))
-
-
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", keep: float = KEEP, columns: list[str] | None = None) -> DataFrame:
     """The rows of docs whose posterior of being good is at least ``keep``, with all their columns.
 
     host and path say which site a document is of; null is a site of its own.  The posterior's log
     odds are those of the document's own evidence, moved by how far the shrunk posterior of its path
     (the other documents there) is from the global prior.  ``columns`` names further columns to
-    return: evidence, host_posterior, path_posterior, posterior.
+    return: evidence, host_posterior, path_posterior, posterior; they replace columns of docs of
+    that name.
 
     A null or empty text has the evidence of a text without words.  Repeated rows are judged each.
-    Empty tables give no rows.  Extra columns are returned as they are; names with a leading
-    underscore that are used here must not be among them.
+    Empty tables give no rows; without labels every document has the same evidence and stays.
+    Extra columns, whatever their names, are returned as they are.
     """
     classifier = train(docs, labels, id_col, text_col)
     column = lambda c: F.col(c) if isinstance(c, str) else c
     score = evidence(F.col(text_col), classifier)
-    scores = docs.select(column(host).alias("host"), column(path).alias("path"), score.alias("p"))
-    site, mu = sites(scores)
-    scored = docs.withColumn("_host", column(host)).withColumn("_path", column(path)).withColumn("_p", score)
-    extra = [F.col("_p").alias("evidence") if c == "evidence" else F.col(c) for c in columns or []]
-    return _judged(scored, saved(site, "sites"), mu).filter(F.col("posterior") >= keep).select(*docs.columns, *extra)
+    site, mu = sites(docs.select(column(host).alias("host"), column(path).alias("path"), score.alias("p")))
+    site, mu = saved(site, "sites"), min(max(mu, 0.001), 0.999)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), column(host).alias("host"), column(path).alias("path"), score.alias("evidence"))
+    both = rows.join(site, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
+    others = (F.col("s_sum") - F.col("evidence") + F.col("s_strength") * F.col("host_posterior")) / (F.col("s_n") - 1 + F.col("s_strength"))
+    both = both.withColumn("path_posterior", F.greatest(F.lit(0.001), F.least(F.lit(0.999), others)))
+    z = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(mu))
+    both = both.withColumn("posterior", 1 / (1 + F.exp(-z))).filter(F.col("posterior") >= keep)
+    return both.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in (columns or [])), *(columns or []))
+
+
+def _logit(p: Column) -> Column:
+    return F.log(p / (1 - p))

@@ -42,7 +42,7 @@ def shard(docs: DataFrame, shards: int | list[float] = SHARDS, id_col: str = "do
     other columns are ignored.  Only ids, sizes and checksums are moved, never texts; a shard's slots
     are counted by ranges of ids, so no task needs a whole shard.
     """
-    more = shards + 1 if isinstance(shards, int) else [*shards, sum(shards) / len(shards)]
+    more = shards + 1 if isinstance(shards, int) else [*shards, sum(shards) / max(1, len(shards))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     records = docs.select(
         F.col(id_col).alias("id"),

@@ -48,7 +48,7 @@ def _fingerprint(raw: bytes, k: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp): the 64-bit SimHash of every whole text as a signed long.  A null text counts as empty."""
+    """(id, text_hash, fp): the 64-bit SimHash of every whole text as a signed long.  A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,9 +56,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data, at = bytewords.buffer(part.column("text"))
                 raw = data.tobytes()
                 fps = np.fromiter((_fingerprint(raw[at[i] : at[i + 1]], shingle_words) for i in range(len(at) - 1)), np.uint64, len(at) - 1)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def _tree(fps: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -161,9 +162,9 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp, component_id) for every row of docs.
+    """(id, text_hash, fp, group, component_id) for every row of docs.
 
-    component_id is the least id reachable over links of at most 3 differing bits, itself included.
+    group is the least fingerprint of the component; component_id is the least id reachable over links of at most 3 differing bits, itself included.
     Equal fingerprints are collapsed before the index and given back at the end, so a group of
     copies costs one posting per key however large it is.
 
@@ -176,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = saved(components(links(saved(classes.select("fp"), "classes"))), "roots")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
-    named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    return each.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
+    named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), F.col("root").alias("group"), "component_id")
+    return each.join(named, F.col("fp") == F.col("_fp")).select("id", "text_hash", "fp", "group", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -192,10 +193,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with that id (repeated ones, or different texts in one component) the one with the least hash stays.
     """
     last = (1 << 63) - 1
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(last))).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    found = near_duplicates(keyed, "_id", "_text", shingle_words).filter("id = component_id").select(F.col("id").alias("_keep"), "fp").distinct()
-    # an id with texts of two components stands for both; rows are told apart by their text
-    several = found.groupBy("_keep").agg(F.count("*").alias("_groups"))
-    rows = keyed.join(several, F.col("_id") == F.col("_keep")).withColumn("_hash", F.xxhash64("_text"))
-    number = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
-    return rows.withColumn("_number", number).filter(F.col("_number") <= F.col("_groups")).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = near_duplicates(keyed, "id", "text", shingle_words).filter("id = component_id").groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    found = found.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    rows = keyed.withColumn("hash", F.xxhash64("text")).join(found, (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    number = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
+    return rows.withColumn("number", number).filter("number = 1").select("row.*")

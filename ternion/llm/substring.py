@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ternion.llm import bytewords
+from ternion.llm.common import saved
 
 #: Text that one group of documents holds on average.
 BUCKET_BYTES = 4 << 20
@@ -182,4 +183,77 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
     return _level(groups(), earlier, cut, "id long, n_words long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
 
 
+def longest_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(id, longest) for every row: the greatest of the lengths ``min_words``, twice that, four times … at which another document has a window of the row's text too; 0 if none.
+
+    Windows repeated at one length alone are extended to twice that length, until no candidates
+    survive.  A window of twice the length is a candidate if both its halves are repeated.  Each
+    level's repeated windows are saved.  Nulls and short texts have 0, as have rows with a null id.
+    """
+    short, full = repeated_levels(min_words)
+    dealt = _bucketed(docs, id_col, text_col, bucket_bytes)
+    one = Window.partitionBy("hash")
+
+    def asks(length: int, before: int | None):
+        """Asks about windows of a length; of the two halves (or the anchor) that ``before`` long windows tell."""
+
+        def run(table: pa.Table, answers: pa.Table | None) -> pa.Table:
+            repeated, hashes, ids = _sorted_hashes(answers), [], []
+            if not table.num_rows or before is not None and not len(repeated):
+                return _NO_ASKS.empty_table()
+            for doc, known, _d, _a, _s, _e, row, hashed in _columns(table):
+                if length == short:
+                    at, _, value = _windows(known, row, hashed, short, full)
+                elif length == full:
+                    at, value, anchor = _windows(known, row, hashed, short, full)
+                    keep = _member(anchor, repeated)
+                    at, value = at[keep], value[keep]
+                else:
+                    half, _ = bytewords.window_hashes(hashed, row, before)
+                    wide, good = bytewords.window_hashes(hashed, row, length)
+                    again = _member(half, repeated)
+                    at = np.flatnonzero(good & known[row[: len(wide)]] & again[: len(wide)] & again[before : before + len(wide)]) if len(wide) else np.zeros(0, np.int64)
+                    value = wide[at]
+                hashes.append(value)
+                ids.append(doc[row[at]])
+            return _asks_table(table.column("bucket")[0].as_py(), *_grouped(hashes, ids))
+
+        return run
+
+    answers, before, length, levels = None, None, short, []
+    while True:
+        asked = _level(dealt.groupBy("bucket"), answers, asks(length, before), _ASKS)
+        shared = asked.withColumn("n", F.count("*").over(one)).withColumn("any", F.max("many").over(one)).filter("n > 1 or any")
+        answers = saved(shared.select("bucket", "hash"), "repeats")
+        if answers.isEmpty():
+            break
+        if length >= full:
+            levels.append(answers.withColumn("length", F.lit(length)))
+        before, length = length, full if length == short else 2 * length
+    if not levels:
+        return dealt.select("id", F.lit(0).cast("long").alias("longest"))
+
+    def longest(table: pa.Table, answers: pa.Table) -> pa.Table:
+        schema = pa.schema([("id", pa.int64()), ("longest", pa.int64())])
+        if not table.num_rows:
+            return schema.empty_table()
+        lengths = answers.column("length").to_numpy() if answers.num_rows else np.zeros(0, np.int64)
+        found = []
+        for part in bytewords.slices(table, "text"):
+            best = np.zeros(part.num_rows, np.int64)
+            for _doc, known, _d, _a, _s, _e, row, hashed in _columns(part):
+                for n in np.unique(lengths).tolist():
+                    wide, good = bytewords.window_hashes(hashed, row, n)
+                    if len(wide):
+                        hit = good & known[row[: len(wide)]] & _member(wide, np.sort(answers.column("hash").to_numpy().view(np.uint64)[lengths == n]))
+                        best[row[: len(wide)][hit]] = n
+            found.append(pa.table([part.column("id"), pa.array(best)], schema=schema))
+        return pa.concat_tables(found)
+
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionAll(level)
+    return dealt.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(longest, "id long, longest long")
+
+
 _CUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
