@@ -138,7 +138,8 @@ def evidence(text: Column, classifier: Classifier) -> Column:
         parts = [classifier.score(*bytewords.buffer(part.column("text"))) for part in bytewords.slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return score(text)
+    # not deterministic: else Spark may put a copy of it into each expression that uses it
+    return score.asNondeterministic()(text)
 
 
 def _strength(groups: DataFrame, mean: Column, n: Column) -> float:
