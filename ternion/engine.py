@@ -375,19 +375,23 @@ class _Watch:
         if self.seconds is None:
             return False
         self.tag = f"ternion-{uuid.uuid4().hex}"
-        self.spark.addTag(self.tag)
-        self.timer = threading.Timer(self.seconds, self._stop)
-        self.timer.start()
+        self.spark.sparkContext.addJobTag(self.tag)
+        self.done = threading.Event()
+        threading.Thread(target=self._stop, daemon=True).start()
         return True
 
     def _stop(self) -> None:
-        self.late = True
-        self.spark.interruptTag(self.tag)
+        # again and again: a query may be between two jobs when its time is over
+        if not self.done.wait(self.seconds):
+            self.late = True
+            while not self.done.is_set():
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+                self.done.wait(0.2)
 
     def __exit__(self, kind, error, trace) -> None:
         if self.seconds is None:
             return
-        self.timer.cancel()
-        self.spark.removeTag(self.tag)
+        self.done.set()
+        self.spark.sparkContext.removeJobTag(self.tag)
         if self.late and error is not None:
             raise QueryTimeout(f"the query took more than {self.seconds} s") from None

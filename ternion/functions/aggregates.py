@@ -54,6 +54,8 @@ def result(agg: a.Aggregate, name: str, scope: Scope, functions: Registry | None
     x = v.stored(evaluate(agg.arg, scope, functions))
     if agg.name in ("SUM", "AVG"):
         n = v.number(x, lenient=True)
+        if x.kind == "unbound":
+            return Value("integer", F.lit(0).cast("bigint"), nullable=False), Info("integer")
         if n.kind == "numeric":
             rank = F.coalesce(F.col(name + "_rank"), F.lit(0))
             if agg.name == "AVG":

@@ -235,13 +235,13 @@ def _cast(datatype: str, x: Value) -> Value:
     name, text = datatype[len(t.XSD) :], F.trim(v.lexical(x)) if x.kind != "iri" else (v.iri_text(x) if datatype == t.STRING else F.lit(None).cast("string"))
     if name in ("integer", "int", "long", "short", "byte"):
         n = v.number(x)
-        if n.kind in ("integer", "decimal", "double"):
+        if x.kind in v.NUMBERS:
             return _int(n.col.try_cast("bigint"))
         by_value = F.when(n.col.isNotNull(), n.col.try_cast("bigint")).when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).when(text == "true", F.lit(1)).when(text == "false", F.lit(0))
         return _int(by_value)
     if name in ("decimal", "double", "float"):
         n = v.number(x)
-        col = n.col.cast("double") if n.kind in v.NUMBERS else F.coalesce(n.col, F.when(text.isin("true", "false"), (text == "true").cast("double")).otherwise(text.try_cast("double")))
+        col = n.col.cast("double") if x.kind in v.NUMBERS else F.coalesce(n.col, F.when(text.isin("true", "false"), (text == "true").cast("double")).otherwise(text.try_cast("double")))
         return Value("decimal" if name == "decimal" else "double", col)
     if name == "boolean":
         n = v.number(x)

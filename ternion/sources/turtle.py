@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from itertools import groupby
-from urllib.parse import urljoin
 
 from ternion import terms as t
 from ternion.errors import RdfError
@@ -87,8 +86,7 @@ class _Document:
 
     def iri(self) -> IRI:
         if self.kind == "iri":
-            text = _unescape(self.take()[1:-1])
-            return IRI(urljoin(self.base, text) if self.base and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", text) else text)
+            return IRI(t.resolved(self.base, _unescape(self.take()[1:-1])))
         if self.kind == "name":
             prefix, _, local = self.token.partition(":")
             if prefix not in self.prefixes:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -66,6 +68,13 @@ class Var:
 Term = IRI | Blank | Literal
 
 
+def resolved(base: str, iri: str) -> str:
+    """An IRI reference in the context of a base IRI, if there is one."""
+    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri):
+        return iri
+    return urljoin(base, iri) + ("#" if iri.endswith("#") else "")
+
+
 def canonical(term: Term) -> Term:
     """Integers, booleans and the like in the one form in which they are stored, so that equal values join."""
     if isinstance(term, Literal) and NUMERIC.get(term.datatype) == 0:

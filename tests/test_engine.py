@@ -284,8 +284,7 @@ def test_explain_functions_and_errors(engine):
 
 
 def test_timeout(spark):
-    e = Engine(spark)
-    rows = spark.range(3_000_000)
+    rows = spark.range(40_000)
     from ternion.sources.mapping import table
 
     e = Engine(spark, [table(rows, "n", "id", E)])
