@@ -36,9 +36,8 @@ class _Document:
         if name.startswith("@"):
             return name
         if vocab and name in ctx:
-            own = ctx[name]
-            own = own.get("@id", name) if isinstance(own, dict) else own
-            return None if own is None else own if own == name else self.expand(own, {k: v for k, v in ctx.items() if k != name})
+            own = ctx[name].get("@id", name) if isinstance(ctx[name], dict) else ctx[name]
+            return None if own is None else self.expand(own, {k: v for k, v in ctx.items() if k != name})
         prefix, colon, rest = name.partition(":")
         if colon:
             if prefix == "_" or rest.startswith("//"):
