@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,14 @@ KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey
 LINKS = {"o_custkey": "customer", "l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier", "c_nationkey": "nation", "s_nationkey": "nation", "n_regionkey": "region"}
 
 
+@lru_cache(maxsize=256)
+def _reader(spark: SparkSession, path: str) -> DataFrame:
+    """A table's plan: reading the footers for its schema costs a job, so it is done once for a path and session."""
+    return spark.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _reader(spark, f"{sf_dir}/{name}.parquet")
 
 
 def engine(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(KEYS), more: tuple[Table, ...] = ()) -> Engine:
