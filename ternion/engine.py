@@ -285,6 +285,38 @@ class Engine:
             self.status.materialized(report, profile)
         return report
 
+    def add_with_reasoning(self, rows: Iterable[tuple[Term, IRI, Term]], profile: str = "owl2rl", rules: list | None = None, preview: bool = False) -> dict[str, int]:
+        """Inserts triples and derives only what they add.  preview: tells what would be derived and changes nothing."""
+        from ternion.reason import fixpoint
+        from ternion.reason.rules import rules_of
+
+        more = triples(self.spark, rows)
+        with self.lock:
+            derived = self.derived.df if self.derived is not None else self.store.df.limit(0)
+            new = fixpoint.add(self.store.df, derived, more, rules if rules is not None else rules_of(profile))
+            if not preview:
+                self._commit(self.store.plus(more))
+                self.derived = TripleStore(derived.unionByName(new.derived))
+                self.status.materialized({"derived": new.count, "rounds": new.rounds}, profile)
+        return {"derived": new.count, "rounds": new.rounds}
+
+    def delete_with_reasoning(self, rows: Iterable[tuple[Term, IRI, Term]], profile: str = "owl2rl", rules: list | None = None, preview: bool = False) -> dict[str, int]:
+        """Deletes explicit triples and the derived ones that no longer follow; preview changes nothing."""
+        from ternion.reason import fixpoint
+        from ternion.reason.rules import rules_of
+
+        gone = triples(self.spark, rows)
+        with self.lock:
+            derived = self.derived.df if self.derived is not None else self.store.df.limit(0)
+            before = derived.count()
+            left = fixpoint.remove(self.store.df, derived, gone, rules if rules is not None else rules_of(profile))
+            after = left.count()
+            if not preview:
+                self._commit(self.store.less(gone))
+                self.derived = TripleStore(left)
+                self.status.materialized({"derived": after}, profile)
+        return {"kept": after, "lost": before - after}
+
     def reasoning_status(self) -> dict[str, object]:
         return self.status.as_dict()
 
@@ -318,6 +350,27 @@ class Engine:
         self.spark.createDataFrame([(name, n, self.derived is not None)], "name string, triples long, derived boolean").coalesce(1).write.mode("append").parquet(f"{path}/versions")
         return {"name": name, "triples": n}
 
+    def verify(self, path: str, name: str) -> bool:
+        """Whether a saved version is complete: its triples are there and as many as were written."""
+        known = {r["name"]: r for r in self.versions(path)}
+        try:
+            return name in known and self.spark.read.parquet(f"{path}/{name}/explicit").count() == known[name]["triples"]
+        except Exception:  # missing or damaged files are what this looks for
+            return False
+
+    def rotate(self, path: str, keep: int = 5) -> list[str]:
+        """Deletes all but the latest versions of a folder; returns the names of those that went."""
+        rows = self.versions(path)
+        gone = [r["name"] for r in rows[:-keep]] if keep else [r["name"] for r in rows]
+        if gone:
+            jvm, sc = self.spark._jvm, self.spark.sparkContext
+            left = [tuple(r.values()) for r in rows if r["name"] not in gone]
+            self.spark.createDataFrame(left, "name string, triples long, derived boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions")
+            for name in gone:
+                target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+                target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        return gone
+
     def versions(self, path: str) -> list[dict[str, object]]:
         return [r.asDict() for r in self.spark.read.parquet(f"{path}/versions").orderBy("name").collect()]
 

@@ -145,3 +145,18 @@ def test_engine(spark):
     assert eng.sparql(q).count() == 2 and eng.sparql(q, source="explicit").count() == 1 and eng.sparql(q, source="derived").count() == 1
     eng.update("INSERT DATA { <http://e/z> a <http://e/A> }")
     assert eng.reasoning_status()["needs_rematerialization"]
+
+
+def test_engine_step_by_step(spark):
+    eng = Engine(spark)
+    sub = IRI(SUB)
+    eng.load_string("@prefix : <http://e/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :x a :A . :A rdfs:subClassOf :B .")
+    eng.materialize("rdfs")
+    step = [(IRI(E + "B"), sub, IRI(E + "C"))]
+    assert eng.add_with_reasoning(step, "rdfs", preview=True)["derived"] == 2
+    assert eng.add_with_reasoning(step, "rdfs")["derived"] == 2
+    q = "SELECT ?t { <http://e/x> a ?t }"
+    assert eng.sparql(q).count() == 3
+    assert eng.delete_with_reasoning([(IRI(E + "A"), sub, IRI(E + "B"))], "rdfs", preview=True) == {"kept": 0, "lost": 3}
+    eng.delete_with_reasoning([(IRI(E + "A"), sub, IRI(E + "B"))], "rdfs")
+    assert eng.sparql(q).count() == 1

@@ -152,6 +152,9 @@ def test_save_and_open(spark, tmp_path):
     assert len(e.versions(str(tmp_path / "s"))) == 2
     assert Engine.open(spark, str(tmp_path / "s"), first["name"]).stats()["triples"] == len(ODD)
     assert {r["triples"] for r in e.versions(str(tmp_path / "s"))} == {1, len(ODD)}
+    assert e.verify(str(tmp_path / "s"), first["name"]) and not e.verify(str(tmp_path / "s"), "none")
+    assert e.rotate(str(tmp_path / "s"), 1) == [first["name"]] and e.rotate(str(tmp_path / "s"), 1) == []
+    assert Engine.open(spark, str(tmp_path / "s")).stats()["triples"] == 1 and not e.verify(str(tmp_path / "s"), first["name"])
 
 
 def test_statistics(spark):
