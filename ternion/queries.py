@@ -143,7 +143,7 @@ SPARQL: dict[str, tuple] = {
     "group_expression": ("SELECT ?y (COUNT(*) AS ?n) WHERE { ?o ex:o_orderdate ?d } GROUP BY (YEAR(?d) AS ?y)", "SELECT year(o_orderdate) y, count(*) n FROM orders GROUP BY 1"),
     "group_unbound_key": ("SELECT ?s (COUNT(*) AS ?n) WHERE { ?x ex:n_name ?m OPTIONAL { ?y ex:s_nationkey ?x ; ex:s_name ?s FILTER(?s < 'Supplier#000000010') } } GROUP BY ?s", "SELECT s_name s, count(*) n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_name < 'Supplier#000000010' GROUP BY 1"),
     "group_implicit": ("SELECT (COUNT(?k) AS ?n) (SUM(?s) AS ?m) (MAX(?s) AS ?x) WHERE { ?p ex:p_partkey ?k ; ex:p_size ?s }", "SELECT count(*) n, CAST(sum(p_size) AS BIGINT) m, CAST(max(p_size) AS BIGINT) x FROM part"),
-    "group_implicit_empty": ("SELECT (COUNT(*) AS ?n) (SUM(?s) AS ?m) WHERE { ?p ex:p_size ?s FILTER(?s > 1000) }", "SELECT 0 n, 0 m"),
+    "group_implicit_empty": ("SELECT (COUNT(*) AS ?n) (SUM(?s) AS ?m) WHERE { ?p ex:p_size ?s FILTER(?s > 1000) }", "SELECT CAST(0 AS BIGINT) n, CAST(0 AS BIGINT) m"),
     "having": ("SELECT ?b (COUNT(*) AS ?n) WHERE { ?p ex:p_brand ?b } GROUP BY ?b HAVING(COUNT(*) > 80)", "SELECT p_brand b, count(*) n FROM part GROUP BY 1 HAVING count(*) > 80"),
     # property paths
     "path_sequence": ("SELECT ?o ?r WHERE { ?o ex:o_custkey/ex:c_nationkey/ex:n_regionkey ?r }", "SELECT 'http://example.org/orders/' || o_orderkey o, 'http://example.org/region/' || n_regionkey r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"),
@@ -171,7 +171,7 @@ SPARQL: dict[str, tuple] = {
     "fn_replace": ("SELECT ?k (REPLACE(?n, '([aeiou])', '<$1>') AS ?v) WHERE { ?p ex:p_partkey ?k ; ex:p_name ?n }", "SELECT p_partkey k, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') v FROM part"),
     "fn_encode": ("SELECT ?k (ENCODE_FOR_URI(?n) AS ?v) WHERE { ?p ex:p_partkey ?k ; ex:p_name ?n }", "SELECT p_partkey k, url_encode(p_name) v FROM part"),
     "fn_hash": ("SELECT ?k (MD5(?n) AS ?a) (SHA1(?n) AS ?b) (SHA256(?n) AS ?c) WHERE { ?x ex:n_nationkey ?k ; ex:n_name ?n }", "SELECT CAST(n_nationkey AS BIGINT) k, md5(n_name) a, sha1(n_name) b, sha256(n_name) c FROM nation"),
-    "fn_hash_long": ("SELECT ?k (STRLEN(SHA384(?n)) AS ?a) (STRLEN(SHA512(?n)) AS ?b) WHERE { ?x ex:n_nationkey ?k ; ex:n_name ?n }", "SELECT CAST(n_nationkey AS BIGINT) k, 96 a, 128 b FROM nation"),
+    "fn_hash_long": ("SELECT ?k (STRLEN(SHA384(?n)) AS ?a) (STRLEN(SHA512(?n)) AS ?b) WHERE { ?x ex:n_nationkey ?k ; ex:n_name ?n }", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(96 AS BIGINT) a, CAST(128 AS BIGINT) b FROM nation"),
     "fn_dates": ("SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?a) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?i) WHERE { ?e ex:event_id ?k ; ex:ts ?d }", "SELECT event_id k, year(ts) y, month(ts) m, day(ts) a, hour(ts) h, minute(ts) i FROM events"),
     "fn_seconds": ("SELECT ?k (SECONDS(?d) AS ?s) (TZ(?d) AS ?z) WHERE { ?e ex:event_id ?k ; ex:ts ?d }", "SELECT event_id k, CAST(second(ts) AS DOUBLE) s, 'Z' z FROM events"),
     "fn_if_coalesce": ("SELECT ?k (IF(?s > 25, 'large', 'small') AS ?v) (COALESCE(?no, ?k / 0, ?s) AS ?w) WHERE { ?p ex:p_partkey ?k ; ex:p_size ?s }", "SELECT p_partkey k, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END v, CAST(p_size AS VARCHAR) w FROM part"),
@@ -372,7 +372,7 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "store_join": (_store_join, "SELECT 'http://example.org/customer/' || c_custkey c, r_name r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9000"),
     "store_mixed_objects": (_store_mixed_objects, "SELECT 'iri' kind, count(DISTINCT n_nationkey) n, min('http://example.org/region/' || n_regionkey) least, max('http://example.org/region/' || n_regionkey) most FROM nation UNION ALL SELECT 'number', count(*), CAST(min(n_nationkey) AS VARCHAR), CAST(max(n_nationkey) AS VARCHAR) FROM nation UNION ALL SELECT 'text', count(*), min(n_name), max(n_name) FROM nation"),
     "update": (_update, _UPDATED),
-    "update_clear": (_clear, "SELECT 3 * count(*) cleared, 0 left_over FROM region"),
+    "update_clear": (_clear, "SELECT 3 * count(*) cleared, CAST(0 AS BIGINT) left_over FROM region"),
     "ntriples_round_trip": (
         _round_trip,
         "SELECT 'http://example.org/' || c p, count(*) n, count(DISTINCT v) \"values\" FROM (SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) c, unnest([CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)]) v FROM nation UNION ALL SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']), unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR), c_mktsegment]) FROM customer) GROUP BY c UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer), 2",
