@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -186,15 +186,15 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their group: one row for each component.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, near: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: one row for each component of ``near``.
 
     That is the row with the component's least id; a null id counts as the largest.  Of several rows
     with that id (repeated ones, or different texts in one component) the one with the least hash stays.
     """
     last = (1 << 63) - 1
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = near_duplicates(keyed, "id", "text", shingle_words).filter("id = component_id").groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    found = near(keyed, "id", "text", shingle_words).filter("id = component_id").groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     found = found.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     rows = keyed.withColumn("hash", F.xxhash64("text")).join(found, (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash")))
     number = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
