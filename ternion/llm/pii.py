@@ -17,8 +17,8 @@ from ternion.llm.common import saved
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that may reveal it.
 CONTEXT = 5
-#: A term reveals an entity if they meet in at least this many different contexts, and at least this
-#: share of the term's occurrences in the corpus is such a meeting.
+#: A term reveals an entity if they meet at least this often, in different texts or contexts, and at
+#: least this share of the different texts that hold the term is such a meeting.
 MEETINGS, DISCLOSURE = 2, 0.5
 #: A revealing term seen with at least this many entities is generalised, others are removed.
 GENERALISE = 3
@@ -115,20 +115,21 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def meetings(docs: DataFrame) -> DataFrame:
-    """(entity, term, n): in how many different contexts a term occurs near an entity.  docs: id, text."""
+    """(entity, term, n, texts): how often a term occurs near an entity in different texts or contexts, and in how many different texts.  docs: text_hash, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bytewords.slices(batch, "text"):
-                rows: list[tuple[int, int, int]] = []
-                for text in part.column("text").to_pylist():
+                rows: list[tuple[int, int, int, int]] = []
+                for own, text in zip(part.column("text_hash").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if text and (spans := base_spans(text)):
-                        rows += _contexts(text.encode(), text, spans)
-                e, t, c = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), _signed(t), _signed(c)], ["entity", "term", "context"])
+                        rows += [(*x, own) for x in _contexts(text.encode(), text, spans)]
+                e, t, c, h = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), _signed(t), _signed(c), pa.array(h, pa.int64())], ["entity", "term", "context", "text_hash"])
 
-    near = docs.select("text").mapInArrow(run, "entity long, term long, context long")
-    return near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
+    near = docs.select("text_hash", "text").mapInArrow(run, "entity long, term long, context long, text_hash long")
+    each = near.distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
+    return each.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
 
 
 def _filter_of(terms: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -147,45 +148,64 @@ def _in_filter(hashed: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def revealing(docs: DataFrame) -> DataFrame:
-    """(term, entities, disclosure) for the terms that reveal protected entities.  docs: id, text.
+    """(term, entities, disclosure) for the terms that reveal protected entities.  docs: text_hash, text.
 
-    disclosure estimates P(entity near | term): the contexts in which the term meets its entity, over
-    the term's occurrences in all documents (each counted once for a document).  A term met with one
-    entity alone, however rare, must be so at least MEETINGS times in different contexts, so copies
-    of one text reveal nothing.
+    disclosure estimates P(entity near | term): the different texts in which the term meets its
+    entity, over the different texts that hold the term, so copies of a text neither reveal nor hide.
+    A term met with one entity alone, however rare, must be so at least MEETINGS times, in different
+    texts or in different contexts of one.
     """
     met = saved(meetings(docs).filter(F.col("n") >= MEETINGS), "meetings")
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_filter_of(met))  # of fixed size
+    if met.isEmpty():
+        return spark.createDataFrame([], "term long, entities long, disclosure double")
+    copied = docs.groupBy("text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("text_hash").alias("term"))
+    copies = spark.sparkContext.broadcast(_filter_of(copied))  # of fixed size
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = bitmap.value
+        """Terms with the number of texts that have no copies, and (term, text) of those that may have some."""
+        maps, twice = bitmap.value, copies.value
         held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        done: set[int] = set()  # texts with copies that this task has given
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             terms, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             return terms, np.bincount(back, np.concatenate([n for _, n in held]), len(terms)).astype(np.int64)
 
         for batch in batches:
-            for part in bytewords.slices(batch, "text"):
+            hashes = np.asarray(batch.column("text_hash"))
+            maybe, keep = _in_filter(hashes.view(np.uint64), twice), np.ones(len(hashes), bool)
+            for i in np.flatnonzero(maybe).tolist():
+                keep[i] = (h := int(hashes[i])) not in done
+                done.add(h)
+            if len(done) > 1 << 20:
+                done.clear()
+            for part in bytewords.slices(batch.filter(pa.array(keep)), "text"):
                 data, at = bytewords.buffer(part.column("text"))
                 low = _LOWERED[data]
                 starts, ends, row = bytewords.words(low, at, _TOKEN[low])
                 hashed = bytewords.word_hashes(low, starts, ends)
                 hit = _in_filter(hashed, maps)
                 pairs = np.unique(np.column_stack([hashed[hit], row[hit].astype(np.uint64)]), axis=0)
-                held.append(np.unique(pairs[:, 0], return_counts=True))
+                own = np.asarray(part.column("text_hash"))
+                shared = _in_filter(own.view(np.uint64), twice)[pairs[:, 1].astype(np.int64)]
+                if shared.any():
+                    some = pairs[shared]
+                    yield pa.RecordBatch.from_arrays([_signed(some[:, 0]), pa.array(own[some[:, 1].astype(np.int64)]), pa.array(np.ones(len(some), np.int64))], ["term", "text_hash", "n"])
+                held.append(np.unique(pairs[~shared, 0], return_counts=True))
                 size += len(held[-1][0])
                 if size > 1 << 20:  # a task gives each term once, however much text it reads
                     held[:] = [merged()]
                     size = len(held[0][0])
         terms, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([_signed(terms), pa.nulls(len(terms), pa.int64()), pa.array(n)], ["term", "text_hash", "n"])
 
-    if met.isEmpty():
-        return spark.createDataFrame([], "term long, entities long, disclosure double")
-    seen = docs.select("text").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("seen")).withColumnRenamed("term", "_term")
-    both = met.join(seen, F.col("term") == F.col("_term")).withColumn("disclosure", F.least(F.lit(1.0), F.col("n") / F.col("seen")))
+    # a text with copies counts once, whichever tasks gave it; those without are told by no hash
+    given = docs.select("text_hash", "text").mapInArrow(counted, "term long, text_hash long, n long")
+    once = given.groupBy("term", "text_hash").agg(F.when(F.col("text_hash").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    seen = once.groupBy("term").agg(F.sum("n").alias("seen")).withColumnRenamed("term", "_term")
+    both = met.join(seen, F.col("term") == F.col("_term")).withColumn("disclosure", F.col("texts") / F.col("seen"))
     return saved(both.filter(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.count("*").alias("entities"), F.max("disclosure").alias("disclosure")), "revealing")
 
 

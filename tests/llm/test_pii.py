@@ -112,3 +112,17 @@ def test_generalised(spark):
 def test_cases(spark, extra):
     assert pii.find(docs(spark, extra)).count() == docs(spark).count()
     assert pii.find(empty(spark)).count() == 0
+
+
+def _telling(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[r.id][x.start : x.end] for r in pii.find(frame).collect() for x in r.terms}
+
+
+def test_copies_hide_nothing(spark):
+    """Copies count on neither side, and a line with the same words around the entity meets it in each text."""
+    copied = ["see Quimby near q@x.org soon"] * 100 + ["old Quimby wrote q@x.org once", "now Quimby asks q@x.org again"]
+    assert "Quimby" in _telling(spark, copied)
+    signed = [f"{prose(i, 12)} yours truly from dear Blorptag b@x.org best wishes to all there" for i in range(6)]
+    assert "Blorptag" in _telling(spark, signed)
+    assert "Grumph" not in _telling(spark, ["a Grumph b@x.org", "c Grumph b@x.org", *(f"{prose(i, 9)} Grumph" for i in range(9))])
