@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     spans = [(0, s, e) for s, e in _emails(text)] if "@" in text else []
     if not _DIGITS.search(text):
         return spans
-    spans += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    spans += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _SKIP.sub("", m[0])

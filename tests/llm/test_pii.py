@@ -126,3 +126,8 @@ def test_copies_hide_nothing(spark):
     signed = [f"{prose(i, 12)} yours truly from dear Blorptag b@x.org best wishes to all there" for i in range(6)]
     assert "Blorptag" in _telling(spark, signed)
     assert "Grumph" not in _telling(spark, ["a Grumph b@x.org", "c Grumph b@x.org", *(f"{prose(i, 9)} Grumph" for i in range(9))])
+
+
+def test_ip_part_of_many_zeros():
+    text = "0" * 5000 + ".1.2.3"
+    assert pii.base_spans(text)[0] == (1, 0, len(text))
