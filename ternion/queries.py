@@ -113,6 +113,7 @@ SPARQL: dict[str, tuple] = {
     "minus_disjoint": ("SELECT ?n WHERE { ?x ex:n_name ?n MINUS { ?y ex:r_name ?m } }", "SELECT n_name n FROM nation"),
     "exists": ("SELECT ?s WHERE { ?x ex:s_name ?s FILTER EXISTS { ?l ex:l_suppkey ?x ; ex:l_quantity 5.0e1 } }", "SELECT s_name s FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)"),
     "not_exists": ("SELECT ?c WHERE { ?x ex:c_custkey ?c FILTER NOT EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } FILTER(?c < 500) }", "SELECT c_custkey c FROM customer WHERE c_custkey < 500 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
+    "not_exists_whole": ("SELECT ?c WHERE { ?x ex:c_custkey ?c FILTER NOT EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } }", "SELECT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     "exists_correlated": ("SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER EXISTS { ?o ex:o_custkey ?x ; ex:o_totalprice ?t FILTER(?t > ?b * 50) } }", "SELECT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)"),
     "exists_in_or": ("SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER(?b > 9500 || EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' }) }", "SELECT c_custkey c FROM customer WHERE c_acctbal > 9500 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     # values, bind, subqueries
@@ -329,13 +330,21 @@ UNION ALL SELECT 'http://example.org/region/' || n_regionkey, 'http://example.or
 
 
 def _same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers with the same nation are one by an inverse functional property, and share their names."""
+    """Twelve suppliers, where those with the same nation are one by an inverse functional property, and share their names."""
+    return _merged(spark, read(spark, sf_dir, "supplier").filter("s_suppkey <= 12"), F.col("s_suppkey") % 5)
+
+
+def _same_as_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers, merged by their own nation."""
+    return _merged(spark, read(spark, sf_dir, "supplier"), F.col("s_nationkey"))
+
+
+def _merged(spark: SparkSession, s: DataFrame, nation) -> DataFrame:
     from ternion.reason import fixpoint
     from ternion.reason.rules import rules_of
 
-    s = read(spark, sf_dir, "supplier").filter("s_suppkey <= 12")
     iri = F.concat(F.lit(f"{BASE}supplier/"), F.col("s_suppkey").cast("string"))
-    facts = s.select(*_triple(iri, f"{BASE}at", F.concat(F.lit(f"{BASE}nation/"), (F.col("s_suppkey") % 5).cast("string"))))
+    facts = s.select(*_triple(iri, f"{BASE}at", F.concat(F.lit(f"{BASE}nation/"), nation.cast("string"))))
     facts = facts.union(s.select(*_triple(iri, f"{BASE}name", F.col("s_name"), True)))
     facts = facts.union(spark.createDataFrame([(IRI_KIND, f"{BASE}at", TYPE, IRI_KIND, "http://www.w3.org/2002/07/owl#InverseFunctionalProperty", "", "")], facts.schema))
     rules = rules_of("custom", names=("prp_ifp", "eq_sym", "eq_trans", "eq_rep_s"))
@@ -385,6 +394,7 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "reason_rdfs": (_reason("rdfs"), _RDFS_SQL),
     "reason_owl2rl": (_reason("owl2rl"), _OWL_SQL),
     "reason_same_as": (_same_as, "SELECT 'http://example.org/supplier/' || a.s_suppkey s, b.s_name v FROM supplier a JOIN supplier b ON a.s_suppkey % 5 = b.s_suppkey % 5 AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey <= 12 AND b.s_suppkey <= 12"),
+    "reason_same_as_whole": (_same_as_whole, "SELECT 'http://example.org/supplier/' || a.s_suppkey s, b.s_name v FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"),
     "reason_incremental": (_incremental, _INCREMENTAL_SQL),
 }
 
