@@ -18,75 +18,114 @@ BROADCAST_WINDOWS = 200_000
 #: Units that become a typed placeholder after a number.
 UNITS = "milligrams? kilograms? grams? mg kg g tons? pounds? lbs? ounces? oz millimet(?:er|re)s? centimet(?:er|re)s? kilomet(?:er|re)s? met(?:er|re)s? mm cm km m inch(?:es)? feet foot ft yards? miles? seconds? minutes? hours? days? weeks? months? years? sec min hrs? ms dollars? cents? euros? usd eur gbp percent degrees? celsius fahrenheit litres? liters? ml l gallons? bytes? kb mb gb tb watts? volts? kwh mph kmh".split()
 
+#: Fixed value: words that are never a name, however they are written.
+PLAIN = "a about after all an and any are as at be because before but by can could did do does during each every find for from given had has have he her here his how i if in into is it its let many may most much must my no not of on once one or our out over she should since so some such suppose than that the their then there these they this those though through to under until up was we were what when where which while who whom whose why will with would write you your".split()
+
 # Placeholders: a control character for each type, in a marked text followed by the value and an end.
-_NAME, _NUMBER, _UNIT, _END = "\x02", "\x01", "\x03", "\x04"
-_NAMES = r"(?<=[\p{L},;:]\x20)\p{Lu}\p{L}*\p{Ll}\p{L}*"
+# A word that may be a name goes on behind its mark: within a sentence, or anywhere else.
+_NUMBER, _NAME, _UNIT, _END, _MAYBE = "\x01", "\x02", "\x03", "\x04", "\x05"
+_NAME_WORD = r"\p{Lu}[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*"
+_NAMES = rf"(?<=[\p{{L}},;:]\x20){_NAME_WORD}"
+_OTHERS = rf"(?<![\p{{L}}\p{{M}}{_NAME}]){_NAME_WORD}"
 _NUMBERS = r"\p{Nd}+(?:[.,:/-]\p{Nd}+)*"
+#: What capitalised words are taken for: names within a sentence, none, or all names but PLAIN ones.
+_READINGS = (0, 1, 2)
 
 
 def _marked(text: Column, values: bool) -> Column:
-    """The text with names, numbers and units replaced by placeholders, with or without their values."""
+    """The text with names, numbers and units replaced by placeholders, numbers and units with or without their values."""
     put = lambda mark, n: f" {mark}${n}{_END} " if values else f" {mark} "
-    text = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT + _END, "    ")
-    text = F.regexp_replace(text, _NAMES, put(_NAME, 0))
+    text = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT + _END + _MAYBE, "     ")
+    text = F.regexp_replace(F.regexp_replace(text, _NAMES, f" {_NAME}$0 "), _OTHERS, f" {_MAYBE}$0 ")
     text = F.regexp_replace(text, _NUMBERS, put(_NUMBER, 0))
     number = rf"({_NUMBER}[^{_END}]*{_END}\s*)" if values else rf"({_NUMBER}\s*)"
     return F.lower(F.regexp_replace(text, rf"(?i){number}({'|'.join(UNITS)})(?!\p{{L}})", "$1" + put(_UNIT, 2)))
 
 
 def template(text: Column) -> Column:
-    """The words of a text in lower case, with names, numbers and units as placeholders.
+    """The words of a text in lower case, with numbers and units as placeholders and marks before what may be a name.
 
-    A number is a run of digits with inner separators; a unit is a unit word after a number; a name
-    is a capitalised word in the middle of a sentence.  Other signs separate words.
+    A number is a run of digits with inner separators; a unit is a unit word after a number.  Other
+    signs separate words.
     """
-    return F.filter(F.split(_marked(text, False), rf"[^\p{{L}}\p{{M}}{_NUMBER}-{_UNIT}]+"), lambda w: w != "")
+    return F.filter(F.split(_marked(text, False), rf"[^\p{{L}}\p{{M}}{_NUMBER}-{_UNIT}{_MAYBE}]+"), lambda w: w != "")
 
 
 def slots(text: Column) -> Column:
-    """Like template(), with each placeholder followed by its value."""
-    return F.regexp_extract_all(_marked(text, True), F.lit(rf"([{_NUMBER}-{_UNIT}][^{_END}]*{_END}|[\p{{L}}\p{{M}}]+)"), F.lit(1))
+    """Like template(), with numbers and units followed by their value."""
+    return F.regexp_extract_all(_marked(text, True), F.lit(rf"([{_NUMBER}{_UNIT}][^{_END}]*{_END}|[{_NAME}{_MAYBE}]?[\p{{L}}\p{{M}}]+)"), F.lit(1))
+
 
+def _value(word: Column) -> Column:
+    return F.translate(word, _NUMBER + _NAME + _UNIT + _END + _MAYBE, "")
 
-def _mark(word: Column) -> Column:
+
+def _mark(word: Column, reading: int) -> Column:
+    """The placeholder that a word is in a reading; null: none."""
     first = F.substring(word, 1, 1)
-    return F.when(first.isin(_NAME, _NUMBER, _UNIT), first)
+    name = [first == _NAME, F.lit(False), first.isin(_NAME, _MAYBE) & ~_value(word).isin(PLAIN)][reading]
+    return F.when(first.isin(_NUMBER, _UNIT), first).when(name, F.lit(_NAME))
+
+
+def _marks(words: Column, reading: int) -> Column:
+    return F.transform(words, lambda w: _mark(w, reading))
+
+
+def _read(words: Column, reading: int) -> Column:
+    """The words as a reading has them."""
+    return F.transform(words, lambda w: F.when(F.substring(w, 1, 1) <= _MAYBE, F.coalesce(_mark(w, reading), _value(w))).otherwise(w))
 
 
 def _hash(words: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *(F.get(words, at + k) for k in range(n)))
 
 
-def _each_window(df: DataFrame, words: str, n: int) -> DataFrame:
-    """A row for each place where n words begin."""
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("at", F.explode(places))
+def _each_window(df: DataFrame, words: str, n: int, values: str | None = None) -> DataFrame:
+    """(id, text_hash, at, _hash) for each place where n words begin: a row for each hash that the readings of the words have there; with the n values there."""
+    names = [f"_words{r}" for r in _READINGS]
+    df = df.select("id", "text_hash", *([values] if values else []), *(_read(F.col(words), r).alias(c) for r, c in zip(_READINGS, names, strict=True)))
+    places = F.when(F.size(names[0]) >= n, F.sequence(F.lit(0), F.size(names[0]) - n)).otherwise(F.array().cast("array<int>"))
+    part = [F.slice(values, F.col("at") + 1, n).alias(values)] if values else []
+    # the whole texts' words end here, before the rows are made more once again
+    each = df.withColumn("at", F.explode(places)).select("id", "text_hash", "at", *part, F.array(*(_hash(F.col(c), F.col("at"), n) for c in names)).alias("_hashes"))
+    return each.withColumn("_hash", F.explode(F.array_distinct("_hashes"))).drop("_hashes")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, version, hash, place, n, windows, marks, values) for each template window of each item.
+    """(item, version, hash, place, reading, n, usual, windows, every, marks, values) for each window of each item and reading.
 
-    Texts with the same id are versions of an item; equal ones count once.  Items shorter than a window are one window.  Windows with fewer than LITERAL words besides
-    placeholders are left out; an item without others can't be found.
+    Texts with the same id are versions of an item; equal ones count once.  Items shorter than a window are one window.  A window counts in a reading if it has
+    LITERAL words or more besides placeholders; an item without such windows can't be found.
+    ``usual`` tells whether the place counts with names as placeholders, ``windows`` how many do, and
+    ``every`` how many count with names as words.
     """
     items = benchmark.select(F.col(id_col).alias("item"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).distinct()
-    items = items.select("item", "version", slots(F.col("text")).alias("values")).filter("size(values) > 0")
-    items = items.withColumn("marks", F.transform("values", _mark)).withColumn("words", F.zip_with("marks", "values", lambda m, v: F.coalesce(m, v)))
+    items = items.select("item", "version", slots(F.col("text")).alias("words")).filter("size(words) > 0")
     n = F.least(F.lit(WORDS), F.size("words"))
     each = items.withColumn("n", n).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))))
-    part = lambda c: F.slice(c, F.col("place") + 1, F.col("n"))
-    each = each.select("item", "version", "place", "n", part("marks").alias("marks"), part("values").alias("values"), part("words").alias("words"))
+    each = each.withColumn("words", F.slice("words", F.col("place") + 1, F.col("n"))).withColumn("values", F.transform("words", _value))
+    marks = [_marks(F.col("words"), r) for r in _READINGS]
+    each = each.withColumn("read", F.explode(F.array(*(F.struct(F.lit(r).alias("reading"), m.alias("marks")) for r, m in zip(_READINGS, marks, strict=True)))))
+    each = each.select("item", "version", "place", "n", "values", F.col("read.reading").alias("reading"), F.col("read.marks").alias("marks"))
     each = each.filter(F.size(F.filter("marks", lambda m: m.isNull())) >= LITERAL)
+    each = each.withColumn("words", F.zip_with("marks", "values", lambda m, v: F.coalesce(m, v)))
     hashed = F.coalesce(*(F.when(F.col("n") == k, F.xxhash64(F.lit(k), *(F.get("words", F.lit(i)) for i in range(k)))) for k in range(1, WORDS + 1)))
-    whole = each.groupBy(F.col("item").alias("_item"), F.col("version").alias("_version")).agg(F.count("*").alias("windows"))
+    each = each.withColumn("hash", hashed)
+    at = each.groupBy("item", "version", "place").agg(F.max(F.col("reading") == 0).alias("usual"))
+    whole = at.groupBy(F.col("item").alias("_item"), F.col("version").alias("_version")).agg(F.count_if("usual").alias("windows"), F.count("*").alias("every"))
+    at = at.select(F.col("item").alias("_item2"), F.col("version").alias("_version2"), F.col("place").alias("_place"), "usual")
     same = F.col("item").eqNullSafe(F.col("_item")) & (F.col("version") == F.col("_version"))
-    return each.withColumn("hash", hashed).join(whole, same).select("item", "version", "hash", "place", "n", "windows", "marks", "values")
+    here = F.col("item").eqNullSafe(F.col("_item2")) & (F.col("version") == F.col("_version2")) & (F.col("place") == F.col("_place"))
+    each = each.groupBy("item", "version", "place", "n", "hash").agg(F.min_by(F.struct("reading", "marks", "values"), "reading").alias("first"))
+    each = each.select("item", "version", "place", "n", "hash", "first.*")
+    return each.join(at, here).join(whole, same).select("item", "version", "hash", "place", "reading", "n", "usual", "windows", "every", "marks", "values")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, text_hash, item, windows, matched, containment, slots, slot_agreement, verbatim) for each document that holds an item.
 
-    A document holds an item if it has at least CONTAINED of the item's template windows, and if the
+    A document holds an item if it has at least CONTAINED of the item's windows, each in any reading of
+    its capitalised words (names within a sentence, none, or all), and if the
     item's slots are filled consistently: wherever the item repeats a value, the document repeats
     one too, for at least CONSISTENT of the slots.  ``verbatim`` tells whether all values are the
     item's own; if not, the question was re-parameterised.
@@ -105,26 +144,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bounded = sum(r[1] for r in shape) <= BROADCAST_WINDOWS
     side = F.broadcast if bounded else lambda df: df
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    lookup = items.select("hash", "item", "version", "place", "windows")
+    lookup = items.select("hash", "item", "version", "place", "usual", "windows", "every")
 
     made = rows.select("id", "text_hash", template(F.col("text")).alias("words"))
     hits = None
     for n, _ in sorted(shape):
-        each = _each_window(made, "words", n).select("id", "text_hash", _hash(F.col("words"), F.col("at"), n).alias("_hash"))
-        met = each.join(side(lookup), F.col("_hash") == F.col("hash")).select("id", "text_hash", "item", "version", "place", "windows")
+        each = _each_window(made, "words", n).select("id", "text_hash", "_hash")
+        met = each.join(side(lookup), F.col("_hash") == F.col("hash")).select("id", "text_hash", "item", "version", "place", "usual", "windows", "every")
         hits = met if hits is None else hits.union(met)
-    tally = hits.distinct().groupBy("id", "text_hash", "item", "version", "windows").agg(F.count("*").alias("matched"))
-    held = saved(tally.filter(F.col("matched") >= CONTAINED * F.col("windows")), "held")
+    tally = hits.distinct().groupBy("id", "text_hash", "item", "version", "windows", "every").agg(F.count_if("usual").alias("matched"), F.count("*").alias("met"))
+    usual = (F.col("windows") > 0) & (F.col("matched") >= CONTAINED * F.col("windows"))
+    tally = tally.filter(usual | (F.col("met") >= CONTAINED * F.col("every")))
+    tally = tally.select("id", "text_hash", "item", "version", *(F.when(usual, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("windows", "every"), ("matched", "met"))))
+    held = saved(tally, "held")
 
     # the texts of the few documents that hold an item, with the values of their placeholders
     few = held.select(F.col("text_hash").alias("_few")).distinct()
     valued = rows.join(few, F.col("text_hash") == F.col("_few"), "left_semi").dropDuplicates(["id", "text_hash"]).select("id", "text_hash", slots(F.col("text")).alias("doc_values"))
-    valued = valued.withColumn("words", F.transform("doc_values", lambda v: F.coalesce(_mark(v), v)))
-    slotted = items.filter(F.exists("marks", lambda m: m.isNotNull())).select(F.col("item").alias("_item"), F.col("version").alias("_version"), "hash", "place", "marks", "values")
+    # the words without the values of their numbers and units, as template() has them
+    valued = valued.withColumn("words", F.transform("doc_values", lambda v: F.coalesce(_mark(v, 1), v))).withColumn("doc_values", F.transform("doc_values", _value))
+    slotted = items.select(F.col("item").alias("_item"), F.col("version").alias("_version"), "hash", "place", "reading", "marks", "values")
     pairs = None
     for n, _ in sorted(shape):
-        each = _each_window(valued, "words", n).select("id", "text_hash", "at", F.slice("doc_values", F.col("at") + 1, n).alias("doc_values"), _hash(F.col("words"), F.col("at"), n).alias("_hash"))
+        each = _each_window(valued, "words", n, "doc_values")
         met = each.join(side(slotted), F.col("_hash") == F.col("hash"))
+        # a window that meets in several readings counts in the first of them
+        met = met.groupBy("id", "text_hash", "_item", "_version", "at", "place").agg(F.min_by(F.struct("marks", "values", "doc_values"), "reading").alias("first")).select("id", "text_hash", "_item", "_version", "at", "place", "first.*")
         both = F.arrays_zip("marks", "values", "doc_values")
         met = met.select("id", "text_hash", "_item", "_version", (F.col("at") - F.col("place")).alias("shift"), F.explode(both).alias("slot")).filter("slot.marks is not null")
         met = met.select("id", "text_hash", "_item", "_version", "shift", F.col("slot.values").alias("value"), F.col("slot.doc_values").alias("doc_value"))

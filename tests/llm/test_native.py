@@ -171,3 +171,21 @@ def test_decontaminate_without_broadcast(spark, monkeypatch):
     text = prose(2, 30)
     frame = spark.createDataFrame([(1, f"x {text} y"), (2, prose(3, 40))], "doc_id long, text string")
     assert [r.id for r in decontaminate.contaminated(frame, spark.createDataFrame([(1, text)], BENCH)).collect()] == [1]
+
+
+def test_decontaminate_whatever_stands_around(spark):
+    """Short items behind a colon, lower-cased or wrapped ones, and ones with another name at a sentence's start."""
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Alice gave seven red apples to Bob and Carol near Paris yesterday"), (3, "Maria sold every old boat")], BENCH)
+    given = [
+        (1, "Question: What is the capital of France?"),
+        (2, "so alice gave seven red apples to bob and carol near paris yesterday evening"),
+        (3, "Then Alice gave seven red apples to\nBob and\nCarol near\nParis yesterday."),
+        (4, "Later, Peter sold every old boat."),
+        (5, "Berlin is the capital of Germany. It lies on a river."),
+        (6, prose(3, 40)),
+        (7, "WHAT IS THE CAPITAL OF FRANCE?"),
+        (8, "Question: What is the capital of Spain?"),
+    ]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    got = {(r.id, r.item) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 3), (7, 1), (8, 1)}
