@@ -9,13 +9,18 @@ longer document), so memory does not depend on the size of an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Text that is looked at in one go.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+
+#: Rows and bytes of an Arrow batch between Spark and Python.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,6 +31,34 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
 
 
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches, whose workers give their memory back when a task ends.
+
+    The size of batches is a setting of the session, which keeps lower values it has.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def tidy() -> None:
+    """Gives unused memory of this process back to the system: idle workers otherwise keep what they once used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
@@ -74,6 +107,24 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int =
         first = last
 
 
+def pieces(data: np.ndarray, inside: np.ndarray, limit: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts a long text's bytes into pieces of about ``limit`` bytes, none of which begins or ends within a word.
+
+    inside: a table of the 256 byte values that words consist of.  A word longer than that is in one piece.
+    """
+    first, n = 0, len(data)
+    while first < n:
+        last = first + limit
+        while last < n:
+            gap = np.flatnonzero(~inside[data[last : last + SLICE_BYTES]])
+            if len(gap):
+                last += int(gap[0])
+                break
+            last += SLICE_BYTES
+        yield first, min(last, n)
+        first = min(last, n)
+
+
 def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word: a longest run within one row of bytes that are ``inside``."""
     first = inside.copy()
@@ -89,11 +140,19 @@ def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    """A 64-bit hash of each word's bytes.  Words are hashed by stretches of text, so scratch does not grow with the text."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        first, last = starts[i:j] - base, ends[i:j] - base
+        n = int(last[-1])
+        up, down = powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        out[i:j] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _STEP)
+        i = j
+    return out
 
 
 def window_hashes(hashed: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -85,7 +85,7 @@ def entropy_counts(docs: DataFrame, text_col: str = "text") -> tuple[dict[int, i
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[size, counts[seen]])], ["bin", "n"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    found = bytewords.mapped(docs.select(F.col(text_col).alias("text")), run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     counts = {r.bin: r.n for r in found.collect()}  # about a thousand rows at most
     return counts, counts.pop(-1, 0)
 
@@ -215,7 +215,7 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None, id_col: str =
                 found = digests(*bytewords.buffer(part.column("text")), ranks)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([as_text(x) for x in found], pa.string())], ["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fingerprint string")
+    return bytewords.mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, fingerprint string")
 
 
 _NO_ID = -(1 << 63)
@@ -298,4 +298,4 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    return dealt.select("id", "text", "place").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return bytewords.mapped(dealt.select("id", "text", "place"), run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

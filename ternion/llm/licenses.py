@@ -172,7 +172,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                             rows += [{"id": ids[i], **x} for x in recognise(raw[at[i] : at[i + 1]].decode())]
                 yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, license string, start long, end long, sentences array<string>")
+    return bytewords.mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, license string, start long, end long, sentences array<string>")
 
 
 _FOUND = pa.schema([("id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sentences", pa.list_(pa.string()))])

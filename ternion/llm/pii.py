@@ -127,7 +127,7 @@ def meetings(docs: DataFrame) -> DataFrame:
                 e, t, c, h = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), _signed(t), _signed(c), pa.array(h, pa.int64())], ["entity", "term", "context", "text_hash"])
 
-    near = docs.select("text_hash", "text").mapInArrow(run, "entity long, term long, context long, text_hash long")
+    near = bytewords.mapped(docs.select("text_hash", "text"), run, "entity long, term long, context long, text_hash long")
     each = near.distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
     return each.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
 
@@ -202,7 +202,7 @@ def revealing(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([_signed(terms), pa.nulls(len(terms), pa.int64()), pa.array(n)], ["term", "text_hash", "n"])
 
     # a text with copies counts once, whichever tasks gave it; those without are told by no hash
-    given = docs.select("text_hash", "text").mapInArrow(counted, "term long, text_hash long, n long")
+    given = bytewords.mapped(docs.select("text_hash", "text"), counted, "term long, text_hash long, n long")
     once = given.groupBy("term", "text_hash").agg(F.when(F.col("text_hash").isNull(), F.sum("n")).otherwise(1).alias("n"))
     seen = once.groupBy("term").agg(F.sum("n").alias("seen")).withColumnRenamed("term", "_term")
     both = met.join(seen, F.col("term") == F.col("_term")).withColumn("disclosure", F.col("texts") / F.col("seen"))
@@ -245,7 +245,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(base, _BASE), pa.array(maybe, _MAYBE)], ["id", "text_hash", "base", "maybe"])
 
     spans = "array<struct<kind:string,start:long,end:long>>"
-    found = rows.mapInArrow(run, f"id long, text_hash long, base {spans}, maybe array<struct<term:long,start:long,end:long>>")
+    found = bytewords.mapped(rows, run, f"id long, text_hash long, base {spans}, maybe array<struct<term:long,start:long,end:long>>")
     if telling.isEmpty():
         return found.select("id", "text_hash", "base", F.array().cast(spans).alias("terms"))
     found = saved(found, "spans")

@@ -16,6 +16,8 @@ from ternion.llm.common import saved
 MOST_LABELS = 4000
 #: At most this many words, seen in toxic and hardly in other labelled documents, are its lexicon.
 MOST_WORDS = 500
+#: Bytes from which on a text is measured piece by piece.
+LONG = 4 * bytewords.SLICE_BYTES
 #: Documents with at least this posterior are kept.
 KEEP = 0.5
 
@@ -40,23 +42,48 @@ def _lexicon_hash(word: bytes) -> int:
 
 def features(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     """FEATURES of each row of a text buffer.  lexicon: sorted hashes of words."""
-    n = len(at) - 1
+    if len(at) == 2 and len(data) > LONG:
+        return _measures(np.diff(at), *_long_counts(data, lexicon))
     counted = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][at])
-    size = np.maximum(np.diff(at), 1)
-    letters = _LETTER[data]
-    starts, ends, row = bytewords.words(_LOWERED[data], at, letters)
-    hashed = bytewords.word_hashes(_LOWERED[data], starts, ends)
-    words = np.bincount(row, minlength=n)
-    many = np.maximum(words, 1)
+    n, letters = len(at) - 1, _LETTER[data]
+    hashed, row = _hashed(data, at)
     order = np.lexsort((hashed, row))
     new = np.r_[True, (hashed[order][1:] != hashed[order][:-1]) | (row[order][1:] != row[order][:-1])][: len(order)]
     distinct = np.bincount(row[order][new], minlength=n)
     same = np.bincount(row[1:][(hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1])], minlength=n)
-    listed = np.zeros(len(hashed), bool)
-    if len(lexicon) and len(hashed):
-        listed = lexicon[np.minimum(np.searchsorted(lexicon, hashed), len(lexicon) - 1)] == hashed
-    bad = np.bincount(row[listed], minlength=n)
-    return np.column_stack([np.log1p(words), counted(_JUNK[data]) / size, counted(_UPPER[data]) / np.maximum(counted(letters), 1), counted(_DIGIT[data]) / size, distinct / many**0.9, same / many, counted(letters) / many, np.log1p(bad), bad / many])
+    bad = np.bincount(row[_listed(hashed, lexicon)], minlength=n)
+    return _measures(np.diff(at), np.bincount(row, minlength=n), counted(_JUNK[data]), counted(_UPPER[data]), counted(letters), counted(_DIGIT[data]), distinct, same, bad)
+
+
+def _measures(size, words, junk, upper, letters, digits, distinct, same, bad) -> np.ndarray:
+    many = np.maximum(words, 1)
+    return np.column_stack([np.log1p(words), junk / np.maximum(size, 1), upper / np.maximum(letters, 1), digits / np.maximum(size, 1), distinct / many**0.9, same / many, letters / many, np.log1p(bad), bad / many])
+
+
+def _hashed(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = _LOWERED[data]
+    starts, ends, row = bytewords.words(low, at, _LETTER[data])
+    return bytewords.word_hashes(low, starts, ends), row
+
+
+def _listed(hashed: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    if not len(lexicon) or not len(hashed):
+        return np.zeros(len(hashed), bool)
+    return lexicon[np.minimum(np.searchsorted(lexicon, hashed), len(lexicon) - 1)] == hashed
+
+
+def _long_counts(data: np.ndarray, lexicon: np.ndarray) -> list[np.ndarray]:
+    """The counts of one long text, piece by piece; what is kept beside them is its different words."""
+    sums, seen, before = np.zeros(7, np.int64), np.zeros(0, np.uint64), None
+    for first, last in bytewords.pieces(data, _LETTER):
+        part = data[first:last]
+        hashed, _ = _hashed(part, np.array([0, len(part)]))
+        chain = hashed if before is None else np.r_[before, hashed]
+        sums += [len(hashed), _JUNK[part].sum(), _UPPER[part].sum(), _LETTER[part].sum(), _DIGIT[part].sum(), (chain[1:] == chain[:-1]).sum(), _listed(hashed, lexicon).sum()]
+        seen = np.union1d(seen, hashed)
+        before = hashed[-1:] if len(hashed) else before
+    words, junk, upper, letters, digits, same, bad = (np.array([x]) for x in sums)
+    return [words, junk, upper, letters, digits, np.array([len(seen)]), same, bad]
 
 
 class Classifier:
@@ -92,13 +119,16 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS, most_words: int = MOST_WORDS) -> Classifier:
     """Fits a classifier of good documents (quality 1 and not toxic) on a bounded sample of labelled ones.
 
-    labels has id_col, quality and toxic; several labels of a document are averaged.  Without both
+    labels has id_col, quality and toxic; several labels of a document are averaged, and of several documents with
+    one id that with the least hash counts.  Without both
     good and bad documents among them the classifier gives every document the same score: 0.5 if
     there is no label, else almost 1 or almost 0.
     """
     each = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg("quality").alias("quality"), F.avg(F.coalesce("toxic", F.lit(0))).alias("toxic")).filter("quality is not null")
-    each = each.orderBy(F.xxhash64("_id")).limit(most_labels)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(each), F.col("id") == F.col("_id")).select("text", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).cast("double").alias("good"), (F.col("toxic") >= 0.5).alias("toxic"))
+    each = each.orderBy(F.xxhash64("_id"), "_id").limit(most_labels)
+    # one document for each labelled id, the one with the least hash
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(each), F.col("id") == F.col("_id"))
+    sample = found.groupBy("id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).cast("double").alias("good"), (F.col("toxic") >= 0.5).alias("toxic"))
     sample = saved(sample, "labelled")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([int(toxic[r]) for _, r in found], pa.int64())], ["word", "toxic"])
 
     n_toxic = sample.filter("toxic").count()
-    counts = sample.mapInArrow(listed, "word binary, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    counts = bytewords.mapped(sample, listed, "word binary, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     telling = counts.filter((F.col("t") >= max(3, 0.08 * n_toxic)) & (F.col("t") >= 0.6 * F.col("n"))).orderBy(F.desc("t"), "word").limit(most_words)
     words = [bytes(r.word) for r in telling.collect()] if n_toxic else []
     lexicon = np.sort(np.array([_lexicon_hash(w) for w in words], np.uint64))
@@ -122,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = features(*bytewords.buffer(part.column("text")), lexicon)
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), part.column("good")], ["x", "good"])
 
-    got = sample.mapInArrow(measured, "x array<double>, good double").collect()  # at most most_labels rows, if ids are unique
+    got = bytewords.mapped(sample, measured, "x array<double>, good double").collect()  # at most most_labels rows
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
     y = np.array([r.good for r in got])
     centre, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
@@ -134,9 +164,13 @@ def evidence(text: Column, classifier: Classifier) -> Column:
     """The classifier's probability that a text is good; null counts as empty."""
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        parts = [classifier.score(*bytewords.buffer(part.column("text"))) for part in bytewords.slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                parts = [classifier.score(*bytewords.buffer(part.column("text"))) for part in bytewords.slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
+                yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        finally:
+            bytewords.tidy()
 
     # not deterministic: else Spark may put a copy of it into each expression that uses it
     return score.asNondeterministic()(text)

@@ -20,6 +20,8 @@ SEED = 42
 #: Fingerprints that share an index key are compared with each other up to this many; the keys of
 #: larger groups are made finer, and what is still larger is linked by shared midpoints.
 BUCKET = 256
+#: Bytes from which on a text is read piece by piece.
+LONG = 4 * bytewords.SLICE_BYTES
 #: Bytes of a fingerprint, and how many of them two linked ones share at least: 3 bits spoil 3 bytes.
 BYTES, MOST_BITS = 8, 3
 SHARED = BYTES - MOST_BITS
@@ -34,17 +36,30 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 
 def _fingerprint(raw: bytes, k: int) -> int:
-    words = raw.lower().split()  # of bytes: A-Z only, and exactly the separators \x20 \x09-\x0D
-    if not words:
-        return 0
+    votes, total, carried = np.zeros(64, np.int64), 0, []
+    data = np.frombuffer(raw, np.uint8)
+    for first, last in bytewords.pieces(data, ~bytewords.SPACE) if len(raw) > LONG else [(0, len(raw))]:
+        # of bytes: A-Z only, and exactly the separators \x20 \x09-\x0D
+        words = carried + raw[first:last].lower().split()
+        if len(words) >= k:
+            votes += _votes(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+            total += len(words) - k + 1
+        carried = words[max(0, len(words) - k + 1) :]
+    if not total:
+        if not carried:
+            return 0
+        votes, total = _votes([b" ".join(carried)]), 1
+    return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big")
+
+
+def _votes(shingles) -> np.ndarray:
+    """How many of the shingles' hashes have each bit."""
     of, seed = xxhash.xxh64_intdigest, SEED
-    parts = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
-    hashed = np.fromiter((of(p, seed) for p in parts), np.uint64)
-    votes = np.zeros(64, np.int64)
-    big = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
+    hashed = np.fromiter((of(p, seed) for p in shingles), np.uint64)
+    votes, big = np.zeros(64, np.int64), hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
     for first in range(0, len(big), 1 << 14):
         votes += np.unpackbits(big[first : first + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashed)).tobytes(), "big")
+    return votes
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -59,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
+    return bytewords.mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, "id long, text_hash long, fp long")
 
 
 def _tree(fps: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -113,7 +128,7 @@ def _small_and_large(postings: DataFrame, name: str) -> tuple[DataFrame, DataFra
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "_k")
     kept = saved(postings.join(sizes, F.col("key") == F.col("_k")).select("key", "fp", "n"), name)
     buckets = kept.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return buckets.mapInArrow(_edges_of_buckets, "a long, b long"), kept.filter(F.col("n") > BUCKET)
+    return bytewords.mapped(buckets, _edges_of_buckets, "a long, b long"), kept.filter(F.col("n") > BUCKET)
 
 
 def _midpoint_links(large: DataFrame) -> DataFrame:
@@ -141,7 +156,7 @@ def _midpoint_links(large: DataFrame) -> DataFrame:
                 far = np.repeat([0, 0, 1], [1, 24, width - 25]).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, width)), pa.array(mids.ravel()), pa.array(np.repeat(fps, width)), pa.array(np.tile(far, len(fps)))], ["key", "mid", "fp", "far"])
 
-    around = large.select("key", "fp").mapInArrow(run, "key long, mid long, fp long, far boolean")
+    around = bytewords.mapped(large.select("key", "fp"), run, "key long, mid long, fp long, far boolean")
     centre = around.groupBy("key", "mid").agg(F.min(F.when(~F.col("far"), F.col("fp"))).alias("c"), F.count("*").alias("n")).filter("n > 1 and c is not null")
     centre = centre.select(F.col("key").alias("_k"), F.col("mid").alias("_m"), "c")
     return around.join(centre, (F.col("key") == F.col("_k")) & (F.col("mid") == F.col("_m"))).filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct()
