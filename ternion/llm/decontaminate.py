@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternion.llm.common import saved
 
-#: Words of a template window, share of an item's windows that a document must have, and share of
-#: slot values that must be filled consistently.
+#: Words of a template window, share of an item's windows that a stretch of a document must have, and
+#: share of slot values that must be filled consistently, from the item to the document and back.
 WORDS, CONTAINED, CONSISTENT = 5, 0.8, 0.8
 #: A window of an item counts if it has this many words besides placeholders.
 LITERAL = 2
-#: Up to this many benchmark windows (24 bytes each) are broadcast; more are joined by shuffling.
+#: Up to this many benchmark windows (24 bytes each) are broadcast; more are joined by shuffling.  Rows are the same.
 BROADCAST_WINDOWS = 200_000
 
 #: Units that become a typed placeholder after a number.
@@ -21,117 +23,120 @@ UNITS = "milligrams? kilograms? grams? mg kg g tons? pounds? lbs? ounces? oz mil
 #: Fixed value: words that are never a name, however they are written.
 PLAIN = "a about after all an and any are as at be because before but by can could did do does during each every find for from given had has have he her here his how i if in into is it its let many may most much must my no not of on once one or our out over she should since so some such suppose than that the their then there these they this those though through to under until up was we were what when where which while who whom whose why will with would write you your".split()
 
-# Placeholders: a control character for each type, in a marked text followed by the value and an end.
-# A word that may be a name goes on behind its mark: within a sentence, or anywhere else.
-_NUMBER, _NAME, _UNIT, _END, _MAYBE = "\x01", "\x02", "\x03", "\x04", "\x05"
-_NAME_WORD = r"\p{Lu}[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*"
-_NAMES = rf"(?<=[\p{{L}},;:]\x20){_NAME_WORD}"
-_OTHERS = rf"(?<![\p{{L}}\p{{M}}{_NAME}]){_NAME_WORD}"
+# Placeholders: a control character for each type.  A word that may be a name follows its mark; where
+# values are wanted, those of numbers and units follow theirs, up to an end.
+_NUMBER, _UNIT, _NAME, _END = "\x01", "\x02", "\x03", "\x04"
+_NAMES = r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*"
 _NUMBERS = r"\p{Nd}+(?:[.,:/-]\p{Nd}+)*"
-#: What capitalised words are taken for: names within a sentence, none, or all names but PLAIN ones.
-_READINGS = (0, 1, 2)
+_MEASURES = rf"(?i)({_NUMBERS})\s*({'|'.join(UNITS)})(?!\p{{L}})"
+#: What words that may be names are: themselves, or placeholders.
+_READINGS = ("words", "names")
 
 
 def _marked(text: Column, values: bool) -> Column:
-    """The text with names, numbers and units replaced by placeholders, numbers and units with or without their values."""
-    put = lambda mark, n: f" {mark}${n}{_END} " if values else f" {mark} "
-    text = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT + _END + _MAYBE, "     ")
-    text = F.regexp_replace(F.regexp_replace(text, _NAMES, f" {_NAME}$0 "), _OTHERS, f" {_MAYBE}$0 ")
-    text = F.regexp_replace(text, _NUMBERS, put(_NUMBER, 0))
-    number = rf"({_NUMBER}[^{_END}]*{_END}\s*)" if values else rf"({_NUMBER}\s*)"
-    return F.lower(F.regexp_replace(text, rf"(?i){number}({'|'.join(UNITS)})(?!\p{{L}})", "$1" + put(_UNIT, 2)))
+    """The text in lower case with marks for numbers, units and capitalised words.  A text's own control characters 1 to 4 are read as marks too."""
+    put = lambda mark, group: f" {mark}${group}{_END} " if values else f" {mark} "
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), _NAMES, f" {_NAME}$0 ")
+    text = F.regexp_replace(text, _MEASURES, put(_NUMBER, 1) + put(_UNIT, 2))
+    # numbers behind a mark are those that have a unit
+    return F.lower(F.regexp_replace(text, rf"(?<![{_NUMBER}{_UNIT}\p{{Nd}}.,:/-]){_NUMBERS}" if values else _NUMBERS, put(_NUMBER, 0)))
 
 
 def template(text: Column) -> Column:
-    """The words of a text in lower case, with numbers and units as placeholders and marks before what may be a name.
+    """The words of a text in lower case, with placeholders for numbers and units and marks before capitalised words.
 
     A number is a run of digits with inner separators; a unit is a unit word after a number.  Other
-    signs separate words.
+    signs separate words; a text that begins or ends with them has an empty word there.
     """
-    return F.filter(F.split(_marked(text, False), rf"[^\p{{L}}\p{{M}}{_NUMBER}-{_UNIT}{_MAYBE}]+"), lambda w: w != "")
+    return F.split(_marked(text, False), rf"[^\p{{L}}\p{{M}}{_NUMBER}-{_NAME}]+", -1)
 
 
 def slots(text: Column) -> Column:
-    """Like template(), with numbers and units followed by their value."""
-    return F.regexp_extract_all(_marked(text, True), F.lit(rf"([{_NUMBER}{_UNIT}][^{_END}]*{_END}|[{_NAME}{_MAYBE}]?[\p{{L}}\p{{M}}]+)"), F.lit(1))
-
-
-def _value(word: Column) -> Column:
-    return F.translate(word, _NUMBER + _NAME + _UNIT + _END + _MAYBE, "")
-
-
-def _mark(word: Column, reading: int) -> Column:
-    """The placeholder that a word is in a reading; null: none."""
-    first = F.substring(word, 1, 1)
-    name = [first == _NAME, F.lit(False), first.isin(_NAME, _MAYBE) & ~_value(word).isin(PLAIN)][reading]
-    return F.when(first.isin(_NUMBER, _UNIT), first).when(name, F.lit(_NAME))
+    """Like template(), with the values of numbers and units behind their marks and without empty words."""
+    return F.regexp_extract_all(_marked(text, True), F.lit(rf"([{_NUMBER}{_UNIT}][^{_END}]*(?={_END})|{_NAME}?[\p{{L}}\p{{M}}]+)"), F.lit(1))
 
 
-def _marks(words: Column, reading: int) -> Column:
-    return F.transform(words, lambda w: _mark(w, reading))
+def _read(word: Column, reading: str) -> Column:
+    """What a word of slots() or template() is in a reading; a capitalised word may be a name unless it is a PLAIN one."""
+    mark, rest = F.substring(word, 1, 1), F.substring(word, 2, 1 << 30)
+    name = rest if reading == "words" else F.when(rest.isin(PLAIN), rest).otherwise(F.lit(_NAME))
+    return F.when(mark > _NAME, word).when(mark == _NAME, name).when(mark.isin(_NUMBER, _UNIT), mark).otherwise(word)
 
 
-def _read(words: Column, reading: int) -> Column:
-    """The words as a reading has them."""
-    return F.transform(words, lambda w: F.when(F.substring(w, 1, 1) <= _MAYBE, F.coalesce(_mark(w, reading), _value(w))).otherwise(w))
+def _hashed(words: Column, reading: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(_read(w, reading)))
 
 
-def _hash(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *(F.get(words, at + k) for k in range(n)))
+def _windows_of(hashed: Column, at: Column, n: int) -> Column:
+    """The hash of the n words from a place on, from those of the words."""
+    return F.xxhash64(F.lit(n), *(F.get(hashed, at + k) for k in range(n)))
 
 
-def _each_window(df: DataFrame, words: str, n: int, values: str | None = None) -> DataFrame:
-    """(id, text_hash, at, _hash) for each place where n words begin: a row for each hash that the readings of the words have there; with the n values there."""
-    names = [f"_words{r}" for r in _READINGS]
-    df = df.select("id", "text_hash", *([values] if values else []), *(_read(F.col(words), r).alias(c) for r, c in zip(_READINGS, names, strict=True)))
-    places = F.when(F.size(names[0]) >= n, F.sequence(F.lit(0), F.size(names[0]) - n)).otherwise(F.array().cast("array<int>"))
-    part = [F.slice(values, F.col("at") + 1, n).alias(values)] if values else []
+def _each_window(df: DataFrame, words: str, lengths: list[int], values: bool) -> DataFrame:
+    """(id, text_hash, at, _hash) for each place and length of a window: a row for each hash it has in the readings; with ``values`` the reading and the words there."""
+    names = [f"_words{i}" for i in range(len(_READINGS))]
+    df = df.select("id", "text_hash", *([words] if values else []), *(_hashed(F.col(words), r).alias(c) for r, c in zip(_READINGS, names, strict=True)))
+    each = df.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(names[0]) - 1))))
+    both = [(n, r, _windows_of(F.col(c), F.col("at"), n)) for n in lengths for r, c in zip(_READINGS, names, strict=True)]
+    if values:
+        made = F.array(*(F.struct(F.lit(r).alias("reading"), h.alias("hash"), F.slice(F.col(words), F.col("at") + 1, n).alias("values")) for n, r, h in both))
+        return each.select("id", "text_hash", "at", F.explode(made).alias("w")).select("id", "text_hash", "at", F.col("w.reading").alias("_reading"), F.col("w.hash").alias("_hash"), F.col("w.values").alias("doc_values"))
     # the whole texts' words end here, before the rows are made more once again
-    each = df.withColumn("at", F.explode(places)).select("id", "text_hash", "at", *part, F.array(*(_hash(F.col(c), F.col("at"), n) for c in names)).alias("_hashes"))
-    return each.withColumn("_hash", F.explode(F.array_distinct("_hashes"))).drop("_hashes")
+    hashes = each.select("id", "text_hash", "at", F.array(*(h for *_, h in both)).alias("_hashes"))
+    return hashes.select("id", "text_hash", "at", F.explode(F.array_distinct("_hashes")).alias("_hash"))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, version, hash, place, reading, n, usual, windows, every, marks, values) for each window of each item and reading.
+    """(item, version, hash, place, reading, n, usual, windows, every, span, alone, values) for each window of each item and reading.
 
     Texts with the same id are versions of an item; equal ones count once.  Items shorter than a window are one window.  A window counts in a reading if it has
     LITERAL words or more besides placeholders; an item without such windows can't be found.
     ``usual`` tells whether the place counts with names as placeholders, ``windows`` how many do, and
-    ``every`` how many count with names as words.
+    ``every`` how many count with names as words; ``span`` is the length of the stretches of a document
+    that are held against the item, ``alone`` whether no other place of the item has this hash.
     """
     items = benchmark.select(F.col(id_col).alias("item"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).distinct()
     items = items.select("item", "version", slots(F.col("text")).alias("words")).filter("size(words) > 0")
-    n = F.least(F.lit(WORDS), F.size("words"))
-    each = items.withColumn("n", n).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))))
-    each = each.withColumn("words", F.slice("words", F.col("place") + 1, F.col("n"))).withColumn("values", F.transform("words", _value))
-    marks = [_marks(F.col("words"), r) for r in _READINGS]
-    each = each.withColumn("read", F.explode(F.array(*(F.struct(F.lit(r).alias("reading"), m.alias("marks")) for r, m in zip(_READINGS, marks, strict=True)))))
-    each = each.select("item", "version", "place", "n", "values", F.col("read.reading").alias("reading"), F.col("read.marks").alias("marks"))
-    each = each.filter(F.size(F.filter("marks", lambda m: m.isNull())) >= LITERAL)
-    each = each.withColumn("words", F.zip_with("marks", "values", lambda m, v: F.coalesce(m, v)))
-    hashed = F.coalesce(*(F.when(F.col("n") == k, F.xxhash64(F.lit(k), *(F.get("words", F.lit(i)) for i in range(k)))) for k in range(1, WORDS + 1)))
-    each = each.withColumn("hash", hashed)
-    at = each.groupBy("item", "version", "place").agg(F.max(F.col("reading") == 0).alias("usual"))
-    whole = at.groupBy(F.col("item").alias("_item"), F.col("version").alias("_version")).agg(F.count_if("usual").alias("windows"), F.count("*").alias("every"))
-    at = at.select(F.col("item").alias("_item2"), F.col("version").alias("_version2"), F.col("place").alias("_place"), "usual")
-    same = F.col("item").eqNullSafe(F.col("_item")) & (F.col("version") == F.col("_version"))
-    here = F.col("item").eqNullSafe(F.col("_item2")) & (F.col("version") == F.col("_version2")) & (F.col("place") == F.col("_place"))
-    each = each.groupBy("item", "version", "place", "n", "hash").agg(F.min_by(F.struct("reading", "marks", "values"), "reading").alias("first"))
-    each = each.select("item", "version", "place", "n", "hash", "first.*")
-    return each.join(at, here).join(whole, same).select("item", "version", "hash", "place", "reading", "n", "usual", "windows", "every", "marks", "values")
+    each = items.withColumn("n", F.least(F.lit(WORDS), F.size("words"))).withColumn("span", (2 * F.size("words") + 2 * WORDS).cast("long"))
+    each = each.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))))
+    each = each.withColumn("reading", F.explode(F.array(*(F.lit(r) for r in _READINGS)))).withColumn("values", F.slice("words", F.col("place") + 1, F.col("n")))
+    literal = lambda r: F.size(F.filter("values", lambda w: _read(w, r) > _END))
+    of = lambda r: F.coalesce(*(F.when(F.col("n") == k, _windows_of(_hashed(F.col("values"), r), F.lit(0), k)) for k in range(1, WORDS + 1)))
+    pick = lambda f: F.when(F.col("reading") == _READINGS[0], f(_READINGS[0])).otherwise(f(_READINGS[1]))
+    each = each.filter(pick(literal) >= LITERAL).withColumn("hash", pick(of)).drop("words")
+    key = ["item", "version"]
+    at = each.groupBy(*key, "place").agg(F.max(F.col("reading") == _READINGS[1]).alias("usual"))
+    whole = at.groupBy(*key).agg(F.count_if("usual").alias("windows"), F.count("*").alias("every"))
+    times = each.groupBy(*key, "hash").agg((F.countDistinct("place") == 1).alias("alone"))
+    out = each
+    for side, on in ((at, [*key, "place"]), (whole, key), (times, [*key, "hash"])):
+        side = side.withColumnsRenamed({c: f"_{c}" for c in on})
+        out = out.join(side, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on))).drop(*(f"_{c}" for c in on))
+    return out
+
+
+def _stretches(df: DataFrame) -> DataFrame:
+    """Each hit in the two stretches it lies in; windows of a copy whose shift differs by less than half a span share one."""
+    half = F.floor((F.col("at") - F.col("place")) * 2 / F.col("span"))
+    return df.withColumn("stretch", F.explode(F.array(half, half + 1)))
+
+
+def _enough(windows: Column, matched: Column) -> Column:
+    return (windows > 0) & (matched >= CONTAINED * windows)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, text_hash, item, windows, matched, containment, slots, slot_agreement, verbatim) for each document that holds an item.
 
-    A document holds an item if it has at least CONTAINED of the item's windows, each in any reading of
-    its capitalised words (names within a sentence, none, or all), and if the
-    item's slots are filled consistently: wherever the item repeats a value, the document repeats
-    one too, for at least CONSISTENT of the slots.  ``verbatim`` tells whether all values are the
-    item's own; if not, the question was re-parameterised.
+    A document holds an item if a stretch of it has at least CONTAINED of the item's windows, each
+    with its capitalised words read as words or as names, and if the item's slots are filled
+    consistently there: wherever the item repeats a value, the document repeats one too, and where the
+    document repeats one, the item does, for at least CONSISTENT of the slots.  ``verbatim`` tells
+    whether all values are the item's own; if not, the question was re-parameterised.
 
     Only documents that pass the first test are looked at again for their values.  The windows of a
-    document meet the benchmark's while they are made and are never stored; what is grouped are hits.
+    document, of all lengths in one pass, meet the benchmark's while they are made and are never
+    stored; what is grouped are hits.
 
     Null and empty texts hold nothing, and null or empty items are never held.  Repeated documents
     and items give repeated rows (equal ones of the same id count once).  Empty tables give no rows;
@@ -139,52 +144,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = saved(benchmark_windows(benchmark, item_col, item_text_col), "benchmark")
     shape = items.groupBy("n").count().collect()  # at most one row for each length up to WORDS
-    if not shape:
-        shape = [(WORDS, 0)]
-    bounded = sum(r[1] for r in shape) <= BROADCAST_WINDOWS
-    side = F.broadcast if bounded else lambda df: df
+    lengths = sorted(r[0] for r in shape) or [WORDS]
+    side = F.broadcast if sum(r[1] for r in shape) <= BROADCAST_WINDOWS else lambda df: df
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    lookup = items.select("hash", "item", "version", "place", "usual", "windows", "every")
+    lookup = items.select("hash", "item", "version", "place", "usual", "windows", "every", "span").distinct()
+    one, total = ["id", "text_hash", "item", "version", "stretch"], ["windows", "every"]
 
     made = rows.select("id", "text_hash", template(F.col("text")).alias("words"))
-    hits = None
-    for n, _ in sorted(shape):
-        each = _each_window(made, "words", n).select("id", "text_hash", "_hash")
-        met = each.join(side(lookup), F.col("_hash") == F.col("hash")).select("id", "text_hash", "item", "version", "place", "usual", "windows", "every")
-        hits = met if hits is None else hits.union(met)
-    tally = hits.distinct().groupBy("id", "text_hash", "item", "version", "windows", "every").agg(F.count_if("usual").alias("matched"), F.count("*").alias("met"))
-    usual = (F.col("windows") > 0) & (F.col("matched") >= CONTAINED * F.col("windows"))
-    tally = tally.filter(usual | (F.col("met") >= CONTAINED * F.col("every")))
-    tally = tally.select("id", "text_hash", "item", "version", *(F.when(usual, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("windows", "every"), ("matched", "met"))))
-    held = saved(tally, "held")
+    hits = _each_window(made, "words", lengths, False).join(side(lookup), F.col("_hash") == F.col("hash"))
+    hits = _stretches(hits.select("id", "text_hash", "at", *lookup.columns[1:])).select(*one, *total, "place", "usual").distinct()
+    tally = hits.groupBy(*one, *total).agg(F.count_if("usual").alias("matched"), F.count("*").alias("met"))
+    held = saved(tally.filter(_enough(F.col("windows"), F.col("matched")) | _enough(F.col("every"), F.col("met"))).select("id", "text_hash").distinct(), "held")
 
     # the texts of the few documents that hold an item, with the values of their placeholders
     few = held.select(F.col("text_hash").alias("_few")).distinct()
-    valued = rows.join(few, F.col("text_hash") == F.col("_few"), "left_semi").dropDuplicates(["id", "text_hash"]).select("id", "text_hash", slots(F.col("text")).alias("doc_values"))
-    # the words without the values of their numbers and units, as template() has them
-    valued = valued.withColumn("words", F.transform("doc_values", lambda v: F.coalesce(_mark(v, 1), v))).withColumn("doc_values", F.transform("doc_values", _value))
-    slotted = items.select(F.col("item").alias("_item"), F.col("version").alias("_version"), "hash", "place", "reading", "marks", "values")
-    pairs = None
-    for n, _ in sorted(shape):
-        each = _each_window(valued, "words", n, "doc_values")
-        met = each.join(side(slotted), F.col("_hash") == F.col("hash"))
-        # a window that meets in several readings counts in the first of them
-        met = met.groupBy("id", "text_hash", "_item", "_version", "at", "place").agg(F.min_by(F.struct("marks", "values", "doc_values"), "reading").alias("first")).select("id", "text_hash", "_item", "_version", "at", "place", "first.*")
-        both = F.arrays_zip("marks", "values", "doc_values")
-        met = met.select("id", "text_hash", "_item", "_version", (F.col("at") - F.col("place")).alias("shift"), F.explode(both).alias("slot")).filter("slot.marks is not null")
-        met = met.select("id", "text_hash", "_item", "_version", "shift", F.col("slot.values").alias("value"), F.col("slot.doc_values").alias("doc_value"))
-        pairs = met if pairs is None else pairs.union(met)
-    filled = pairs.groupBy("id", "text_hash", "_item", "_version", "shift", "value", "doc_value").agg(F.count("*").alias("n"))
-    filled = filled.groupBy("id", "text_hash", "_item", "_version", "shift", "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("own"))
-    filled = filled.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_item", "_version").agg(F.sum("n").alias("slots"), F.sum("most").alias("most"), F.sum("own").alias("own"))
-    found = held.join(filled, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & F.col("item").eqNullSafe(F.col("_item")) & (F.col("version") == F.col("_version")), "left")
-    agreement = F.when(F.col("slots") > 0, F.col("most") / F.col("slots")).otherwise(1.0)
-    found = found.withColumn("slot_agreement", agreement).filter(F.col("slot_agreement") >= CONSISTENT)
-    return found.select("id", "text_hash", "item", "windows", "matched", (F.col("matched") / F.col("windows")).alias("containment"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), "slot_agreement", F.coalesce(F.col("own") == F.col("slots"), F.lit(True)).alias("verbatim"))
+    valued = rows.join(few, F.col("text_hash") == F.col("_few"), "left_semi").dropDuplicates(["id", "text_hash"]).select("id", "text_hash", slots(F.col("text")).alias("words"))
+    met = _each_window(valued, "words", lengths, True).join(side(items), (F.col("_hash") == F.col("hash")) & (F.col("_reading") == F.col("reading")))
+    met = saved(_stretches(met).select(*one, *total, "place", "usual", "alone", "reading", "values", "doc_values"), "met")
+    tally = met.select(*one, *total, "place", "usual").distinct().groupBy(*one, *total).agg(F.count_if("usual").alias("matched"), F.count("*").alias("met"))
+    usual = _enough(F.col("windows"), F.col("matched"))
+    tally = tally.filter(usual | _enough(F.col("every"), F.col("met"))).select(*one, *(F.when(usual, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("windows", "every"), ("matched", "met"))))
+
+    pairs = met.filter("alone").select(*one, "reading", F.explode(F.arrays_zip("values", "doc_values")).alias("slot")).select(*one, "reading", F.col("slot.values").alias("value"), F.col("slot.doc_values").alias("doc_value"))
+    kind = F.substring("value", 1, 1)
+    pairs = pairs.filter(kind.isin(_NUMBER, _UNIT) | ((kind == _NAME) & (F.col("reading") == _READINGS[1])))
+    pairs = saved(pairs.groupBy(*one, "value", "doc_value").agg(F.count("*").alias("n")), "slots")
+    most = None
+    for i, by in enumerate(("value", "doc_value")):
+        own = F.sum(F.when(F.col("value") == F.col("doc_value"), F.col("n")).otherwise(0)) if by == "value" else F.lit(0).cast("long")
+        part = pairs.groupBy(*one, by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), own.alias("own")).select(*one, *((F.col(c) if i == j else F.lit(0).cast("long")).alias(f"{c}{j}") for j in (0, 1) for c in ("n", "most", "own")))
+        most = part if most is None else most.unionByName(part)
+    filled = most.groupBy(*(F.col(c).alias(f"_{c}") for c in one)).agg(F.sum("n0").alias("slots"), F.sum("own0").alias("own"), F.least(F.sum("most0"), F.sum("most1")).alias("most"))
+    found = tally.join(filled, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in one)), "left")
+    found = found.withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("slot_agreement", F.when(F.col("slots") > 0, F.col("most") / F.col("slots")).otherwise(1.0)).filter(F.col("slot_agreement") >= CONSISTENT)
+    # a document's best stretch speaks for it
+    shown = F.struct((F.col("matched") / F.col("windows")).alias("containment"), "slot_agreement", F.coalesce(F.col("own") == F.col("slots"), F.lit(True)).alias("verbatim"), (-F.col("stretch")).alias("first"), "windows", "matched", F.col("slots").cast("long").alias("slots"))
+    best = found.groupBy("id", "text_hash", "item", "version").agg(F.max(shown).alias("best"))
+    return best.select("id", "text_hash", "item", *(f"best.{c}" for c in ("windows", "matched", "containment", "slots", "slot_agreement", "verbatim")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, id_col, text_col, item_col).select(F.col("text_hash").alias("_bad")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("hash"))
-    return keyed.join(bad, F.col("hash") == F.col("_bad"), "left_anti").select("row.*")
+    bad = contaminated(docs, benchmark, id_col, text_col, item_col).select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    return keyed.join(bad, (F.col("hash") == F.col("_bad")) & F.col("id").eqNullSafe(F.col("_bad_id")), "left_anti").select("row.*")

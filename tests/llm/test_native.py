@@ -1,5 +1,6 @@
 """URL filters, mixing, sharding and decontamination."""
 
+import re
 import zlib
 
 import pytest
@@ -162,8 +163,10 @@ def test_decontaminate(spark):
 def test_decontaminate_inconsistent_slots(spark):
     item = "If 7 cats and 7 dogs meet 7 birds near 7 trees then 7 owls and 7 bats will sing all night"
     frame = spark.createDataFrame([(1, item.replace("7", "9")), (2, "If 1 cats and 2 dogs meet 3 birds near 4 trees then 5 owls and 6 bats will sing all night")], "doc_id long, text string")
-    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, item)], BENCH)).collect()
-    assert [(r.id, r.verbatim) for r in got] == [(1, False)]
+    other = "A coach with 60 red seats and 2 doors drives 90 long miles with 5 old men on board today"
+    frame = frame.union(spark.createDataFrame([(3, re.sub("[0-9]+", "7", other)), (4, other.replace("60", "61").replace("90", "91"))], "doc_id long, text string"))
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, item), (2, other)], BENCH)).collect()
+    assert sorted((r.id, r.item, r.verbatim) for r in got) == [(1, 1, False), (4, 2, False)]
 
 
 def test_decontaminate_without_broadcast(spark, monkeypatch):
