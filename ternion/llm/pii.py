@@ -17,9 +17,10 @@ from ternion.llm.common import saved
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that may reveal it.
 CONTEXT = 5
-#: A term reveals an entity if they meet at least this often, in different texts or contexts, and at
-#: least this share of the different texts that hold the term is such a meeting.
-MEETINGS, DISCLOSURE = 2, 0.5
+#: A term reveals an entity if they meet in at least MEETINGS different texts, if knowing the term
+#: leaves at most RESIDUE bits of surprise about the entity, and if that takes away at least the share
+#: DISCLOSURE of the entity's self-information.
+MEETINGS, RESIDUE, DISCLOSURE = 2, 1.0, 0.5
 #: A revealing term seen with at least this many entities is generalised, others are removed.
 GENERALISE = 3
 #: Bits of the filter that picks the words worth counting.
@@ -96,18 +97,17 @@ def _entity_hash(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value.lower()}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _contexts(raw: bytes, text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(entity, term, context) for each term near each entity; the context tells the neighbourhood's words."""
+def _near(raw: bytes, text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(entity, term) for each term near each entity."""
     starts, ends, hashed = _terms(raw)
     plain = len(raw) == len(text)
     for kind, s, e in spans:
         a, b = (s, e) if plain else (len(text[:s].encode()), len(text[:e].encode()))
         left = int(np.searchsorted(ends, a, "right"))
         right = int(np.searchsorted(starts, b, "left"))
-        near = np.r_[hashed[max(0, left - CONTEXT) : left], hashed[right : right + CONTEXT]]
-        whole = int(bytewords.mix(np.bitwise_xor.reduce(bytewords.mix(near + np.arange(len(near), dtype=np.uint64))).reshape(1))[0]) if len(near) else 0
-        for t in np.unique(near).tolist():
-            yield _entity_hash(kind, text[s:e]), t, whole
+        entity = _entity_hash(kind, text[s:e])
+        for t in np.unique(np.r_[hashed[max(0, left - CONTEXT) : left], hashed[right : right + CONTEXT]]).tolist():
+            yield entity, t
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -115,21 +115,23 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def meetings(docs: DataFrame) -> DataFrame:
-    """(entity, term, n, texts): how often a term occurs near an entity in different texts or contexts, and in how many different texts.  docs: text_hash, text."""
+    """(entity, term, texts, entity_texts): in how many different texts a term stands near an entity (MEETINGS at least), and how many have the entity.  docs: text_hash, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bytewords.slices(batch, "text"):
-                rows: list[tuple[int, int, int, int]] = []
+                rows: set[tuple[int, int, int]] = set()
                 for own, text in zip(part.column("text_hash").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if text and (spans := base_spans(text)):
-                        rows += [(*x, own) for x in _contexts(text.encode(), text, spans)]
-                e, t, c, h = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), _signed(t), _signed(c), pa.array(h, pa.int64())], ["entity", "term", "context", "text_hash"])
+                        rows.update((*x, own) for x in _near(text.encode(), text, spans))
+                e, t, h = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), _signed(t), pa.array(h, pa.int64())], ["entity", "term", "text_hash"])
 
-    near = bytewords.mapped(docs.select("text_hash", "text"), run, "entity long, term long, context long, text_hash long")
-    each = near.distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    return each.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    near = bytewords.mapped(docs.select("text_hash", "text"), run, "entity long, term long, text_hash long")
+    each = saved(near.distinct(), "near")
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MEETINGS)
+    whole = each.select("entity", "text_hash").distinct().groupBy(F.col("entity").alias("_entity")).agg(F.count("*").alias("entity_texts")).filter(F.col("entity_texts") >= MEETINGS)
+    return pairs.join(whole, F.col("entity") == F.col("_entity")).drop("_entity")
 
 
 def _filter_of(terms: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -150,17 +152,20 @@ def _in_filter(hashed: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 def revealing(docs: DataFrame) -> DataFrame:
     """(term, entities, disclosure) for the terms that reveal protected entities.  docs: text_hash, text.
 
-    disclosure estimates P(entity near | term): the different texts in which the term meets its
-    entity, over the different texts that hold the term, so copies of a text neither reveal nor hide.
-    A term met with one entity alone, however rare, must be so at least MEETINGS times, in different
-    texts or in different contexts of one.
+    All counts are of different texts, so copies of a text neither reveal nor hide.  An entity in n of
+    N texts has the self-information log2((N + 1) / n), leaving room for an unseen text; a term that
+    is in m texts, t of them with the entity near it, leaves log2(m / t) bits of that.  disclosure is
+    the share that the term takes away: the pointwise mutual information of the two over the
+    self-information.  See MEETINGS for the thresholds.
     """
-    met = saved(meetings(docs).filter(F.col("n") >= MEETINGS), "meetings")
+    met = saved(meetings(docs), "meetings")
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_filter_of(met))  # of fixed size
     if met.isEmpty():
         return spark.createDataFrame([], "term long, entities long, disclosure double")
-    copied = docs.groupBy("text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("text_hash").alias("term"))
+    texts = saved(docs.groupBy("text_hash").agg(F.count("*").alias("n")), "texts")
+    n_texts = texts.count()
+    copied = texts.filter("n > 1").select(F.col("text_hash").alias("term"))
     copies = spark.sparkContext.broadcast(_filter_of(copied))  # of fixed size
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +184,7 @@ def revealing(docs: DataFrame) -> DataFrame:
             for i in np.flatnonzero(maybe).tolist():
                 keep[i] = (h := int(hashes[i])) not in done
                 done.add(h)
-            if len(done) > 1 << 20:
+            if len(done) > 1 << 17:
                 done.clear()
             for part in bytewords.slices(batch.filter(pa.array(keep)), "text"):
                 data, at = bytewords.buffer(part.column("text"))
@@ -205,8 +210,10 @@ def revealing(docs: DataFrame) -> DataFrame:
     given = bytewords.mapped(docs.select("text_hash", "text"), counted, "term long, text_hash long, n long")
     once = given.groupBy("term", "text_hash").agg(F.when(F.col("text_hash").isNull(), F.sum("n")).otherwise(1).alias("n"))
     seen = once.groupBy("term").agg(F.sum("n").alias("seen")).withColumnRenamed("term", "_term")
-    both = met.join(seen, F.col("term") == F.col("_term")).withColumn("disclosure", F.col("texts") / F.col("seen"))
-    return saved(both.filter(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.count("*").alias("entities"), F.max("disclosure").alias("disclosure")), "revealing")
+    left, whole = F.log2(F.col("seen") / F.col("texts")), F.log2(F.lit(n_texts + 1.0) / F.col("entity_texts"))
+    both = met.join(seen, F.col("term") == F.col("_term")).withColumn("disclosure", 1 - left / whole)
+    telling = both.filter((left <= RESIDUE) & (F.col("disclosure") >= DISCLOSURE))
+    return saved(telling.groupBy("term").agg(F.count("*").alias("entities"), F.max("disclosure").alias("disclosure")), "revealing")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,11 +288,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = find(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.concat("base", "terms").alias("_spans")).filter(F.size("_spans") > 0).distinct()
 
-    @F.udf("string")
-    def redact(text, spans):  # only for texts that have spans
-        return _redacted(text, spans)
+    @F.arrow_udf("string")
+    def redact(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array((_redacted(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)), pa.string())
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     both = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    new = F.when(F.col("_spans").isNotNull(), redact("text", F.coalesce("_spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")))).otherwise(F.col("text"))
+    new = redact("text", F.coalesce("_spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")))
     return both.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

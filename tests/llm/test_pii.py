@@ -1,4 +1,5 @@
 import random
+import math
 import re
 
 import pytest
@@ -64,18 +65,19 @@ def revealed(given):
     """Spans of revealing terms, by counting in plain Python."""
     word = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")
     lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
-    met, seen = {}, {}
-    for _, text in given:
-        text = text or ""
+    met, seen, whole, texts = {}, {}, {}, {text or "" for _, text in given}
+    for text in texts:
         tokens = [(m.start(), m.end(), lower(m[0])) for m in word.finditer(text)]
         for t in {t for _, _, t in tokens}:
             seen[t] = seen.get(t, 0) + 1
         for kind, s, e in plain(text):
+            whole.setdefault((kind, text[s:e].lower()), set()).add(text)
             left = [t for _, b, t in tokens if b <= s][-5:]
             right = [t for a, _, t in tokens if a >= e][:5]
             for t in {*left, *right}:
-                met.setdefault((kind, text[s:e].lower(), t), set()).add((*left, *right))
-    telling = {t for (_, _, t), c in met.items() if len(c) >= 2 and min(1, len(c) / seen[t]) >= 0.5}
+                met.setdefault((kind, text[s:e].lower(), t), set()).add(text)
+    share = lambda k, c: 1 - math.log2(seen[k[2]] / len(c)) / math.log2((len(texts) + 1) / len(whole[k[:2]]))
+    telling = {k[2] for k, c in met.items() if len(c) >= 2 and seen[k[2]] <= 2 * len(c) and share(k, c) >= 0.5}
     out = []
     for i, text in given:
         base = plain(text or "")
@@ -128,6 +130,13 @@ def test_copies_hide_nothing(spark):
     assert "Grumph" not in _telling(spark, ["a Grumph b@x.org", "c Grumph b@x.org", *(f"{prose(i, 9)} Grumph" for i in range(9))])
 
 
+def test_one_text_reveals_nothing(spark):
+    """Two contexts in a single text are one meeting; a word beside an entity that most texts have tells little."""
+    assert not _telling(spark, ["Zorblat a@x.org one two three four five six Zorblat writes to a@x.org again"])
+    common = [f"{prose(i, 3)} Wibble all@x.org {prose(i + 40, 4)}" for i in range(4)] + [f"{prose(i, 5)} all@x.org" for i in range(60, 66)] + [f"{prose(90 + i, 9)} Wibble" for i in range(2)]
+    assert "Wibble" not in _telling(spark, common)
+
+
 def test_ip_part_of_many_zeros():
     text = "0" * 5000 + ".1.2.3"
     assert pii.base_spans(text)[0] == (1, 0, len(text))
