@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ternion.errors import UnsupportedError
 from ternion.plans.solution import Info, Solution, common, in_form, meeting
 
 _numbers = count()
@@ -180,7 +181,7 @@ def marked(left: Solution, right: Solution, name: str) -> Solution:
     keys = Solution(keys.df.distinct().withColumn(name, F.lit(True)), keys.infos | {name: Info("boolean")})
     meet = _Meeting(left, keys)
     if meet.maybe:
-        raise NotImplementedError("EXISTS in an expression over variables that may be unbound")
+        raise UnsupportedError("EXISTS in an expression over variables that may be unbound")
     on = F.lit(False) if meet.never else meet.condition()
     df = left.df.join(meet.right.df.select(*meet.to.values(), name), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return Solution(df.select(*left.df.columns, name), left.infos | {name: Info("boolean")})

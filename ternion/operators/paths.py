@@ -72,17 +72,18 @@ def edges(data: Dataset, p: object) -> tuple[DataFrame, Info]:
 
 
 def closure(steps: DataFrame) -> DataFrame:
-    """All (a, b) with a way of one step or more from a to b.  Ways double in length with each round."""
-    steps = saved(steps, "steps")
-    known, new = steps, steps
+    """All (a, b) with a way of one step or more from a to b.  Ways double in length with each round.
+
+    A shortest way that is longer than all known ones begins with one of exactly the greatest known
+    length, which the last round found, and goes on with a known one.  Each round's pairs stay in their own folder.
+    """
+    known = new = saved(steps, "steps")
     for _ in range(MOST_ROUNDS):
-        left, right = new.select("a", F.col("b").alias("m")), known.select(F.col("a").alias("m"), "b")
-        more = left.join(right, "m").select("a", "b")
-        back = known.select("a", F.col("b").alias("m")).join(new.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        new = saved(more.union(back).distinct().join(known, ["a", "b"], "left_anti"), "round")
+        more = new.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        new = saved(more.join(known, ["a", "b"], "left_anti"), "round")
         if new.isEmpty():
             return known
-        known = saved(known.union(new), "known")
+        known = known.union(new)
     raise LimitError(f"a path is longer than {MOST_ROUNDS} rounds")
 
 
@@ -93,10 +94,9 @@ def reach(steps: DataFrame, starts: DataFrame) -> DataFrame:
     join of the newly reached with the steps, and what was reached before is left out.
     """
     steps = saved(steps, "steps")
-    few = steps.limit(DRIVER_EDGES + 1).collect()
-    if len(few) <= DRIVER_EDGES and len(begin := starts.limit(2).collect()) == 1:
+    if len(begin := starts.limit(2).collect()) == 1 and steps.count() <= DRIVER_EDGES:
         out: dict = {}
-        for r in few:
+        for r in steps.collect():
             out.setdefault(r.a, []).append(r.b)
         seen, todo = set(), [begin[0].s]
         while todo:
@@ -116,7 +116,7 @@ def reach(steps: DataFrame, starts: DataFrame) -> DataFrame:
         nxt = saved(nxt, "round")
         if nxt.isEmpty():
             return known if known is not None else nxt
-        known = nxt if known is None else saved(known.union(nxt), "known")
+        known = nxt if known is None else known.union(nxt)
         new = nxt.select("s", F.col("b").alias("m"))
     raise LimitError(f"a path is longer than {MOST_ROUNDS} steps")
 

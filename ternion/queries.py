@@ -13,7 +13,7 @@ from ternion.functions.values import Template
 from ternion.plans.solution import Info
 from ternion.sources.mapping import Field, Table, table
 from ternion.sources.store import COLUMNS, TripleStore
-from ternion.terms import IRI_KIND, LITERAL, RDFS, STRING, TYPE
+from ternion.terms import IRI_KIND, LITERAL, OWL, RDFS, STRING, TYPE
 
 BASE = "http://example.org/"
 PREFIXES = f"PREFIX ex: <{BASE}> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> PREFIX rdfs: <{RDFS}> PREFIX owl: <http://www.w3.org/2002/07/owl#> "
@@ -112,8 +112,7 @@ SPARQL: dict[str, tuple] = {
     "minus": ("SELECT ?c WHERE { ?x ex:c_custkey ?c MINUS { ?o ex:o_custkey ?x ; ex:o_orderpriority '1-URGENT' } }", "SELECT c_custkey c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "minus_disjoint": ("SELECT ?n WHERE { ?x ex:n_name ?n MINUS { ?y ex:r_name ?m } }", "SELECT n_name n FROM nation"),
     "exists": ("SELECT ?s WHERE { ?x ex:s_name ?s FILTER EXISTS { ?l ex:l_suppkey ?x ; ex:l_quantity 5.0e1 } }", "SELECT s_name s FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)"),
-    "not_exists": ("SELECT ?c WHERE { ?x ex:c_custkey ?c FILTER NOT EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } FILTER(?c < 500) }", "SELECT c_custkey c FROM customer WHERE c_custkey < 500 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
-    "not_exists_whole": ("SELECT ?c WHERE { ?x ex:c_custkey ?c FILTER NOT EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } }", "SELECT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
+    "not_exists": ("SELECT ?c WHERE { ?x ex:c_custkey ?c FILTER NOT EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } }", "SELECT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     "exists_correlated": ("SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER EXISTS { ?o ex:o_custkey ?x ; ex:o_totalprice ?t FILTER(?t > ?b * 50) } }", "SELECT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)"),
     "exists_in_or": ("SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER(?b > 9500 || EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' }) }", "SELECT c_custkey c FROM customer WHERE c_acctbal > 9500 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     # values, bind, subqueries
@@ -281,7 +280,7 @@ def _numeric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ternion import stats
 
-    return stats.range_scan(_graph(spark, sf_dir, "part").store, f"{BASE}p_retailprice", 1000, 1100)
+    return stats.range_scan(_graph(spark, sf_dir, "part").store, f"{BASE}p_retailprice", 920, 950)
 
 
 def _triple(s, p: str, o, literal: bool = False) -> list:
@@ -330,11 +329,6 @@ UNION ALL SELECT 'http://example.org/region/' || n_regionkey, 'http://example.or
 
 
 def _same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve suppliers, where those with the same nation are one by an inverse functional property, and share their names."""
-    return _merged(spark, read(spark, sf_dir, "supplier").filter("s_suppkey <= 12"), F.col("s_suppkey") % 5)
-
-
-def _same_as_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers, merged by their own nation."""
     return _merged(spark, read(spark, sf_dir, "supplier"), F.col("s_nationkey"))
 
@@ -351,6 +345,66 @@ def _merged(spark: SparkSession, s: DataFrame, nation) -> DataFrame:
     return fixpoint.materialize(facts, rules).derived.filter(F.col("p") == f"{BASE}name").select("s", "v")
 
 
+#: Facts of the queries of single rules: nations in regions and the reverse, what they are, and customers in nations.
+_PLACES = {
+    "in": ("nation", "nation/", "n_nationkey", f"{BASE}in", "region/", "n_regionkey"),
+    "holds": ("nation", "region/", "n_regionkey", f"{BASE}holds", "nation/", "n_nationkey"),
+    "of": ("customer", "customer/", "c_custkey", f"{BASE}in", "nation/", "c_nationkey"),
+    "region": ("region", "region/", "r_regionkey", TYPE, "Region", None),
+    "nation": ("nation", "nation/", "n_nationkey", TYPE, "Nation", None),
+    "customer": ("customer", "customer/", "c_custkey", TYPE, "Listed", None),
+    "member": ("nation", "nation/", "n_nationkey", TYPE, "Of", "n_regionkey"),
+    "below": ("nation", "nation/", "n_nationkey", RDFS + "subPropertyOf", "region/", "n_regionkey"),
+    "top": ("region", "region/", "r_regionkey", RDFS + "subPropertyOf", "top", None),
+    "same": ("region", "region/", "r_regionkey", OWL + "sameAs", "area/", "r_regionkey"),
+    "value": ("region", "Of", "r_regionkey", OWL + "hasValue", "region/", "r_regionkey"),
+    "on": ("region", "Of", "r_regionkey", OWL + "onProperty", "in", None),
+}
+
+
+def _one_rule(name: str, places: str, *schema: tuple[str, str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    """What a rule alone derives from facts of whole tables and a few schema triples."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ternion.reason import fixpoint
+        from ternion.reason.rules import rules_of
+
+        facts = None
+        for place in places.split():
+            table, before, key, p, after, value = _PLACES[place]
+            o = F.concat(F.lit(BASE + after), F.col(value).cast("string")) if value else F.lit(BASE + after)
+            one = read(spark, sf_dir, table).select(*_triple(F.concat(F.lit(BASE + before), F.col(key).cast("string")), p, o))
+            facts = one if facts is None else facts.union(one)
+        if schema:
+            facts = facts.union(spark.createDataFrame([(IRI_KIND, s, p, IRI_KIND, o, "", "") for s, p, o in schema], facts.schema))
+        return fixpoint.materialize(facts, rules_of("custom", names=(name,))).derived.select("s", "p", "v")
+
+    return run
+
+
+def _rule_sql(s: str, p: str, v: str, rest: str) -> str:
+    return f"SELECT DISTINCT {s} s, '{p}' p, {v} v FROM {rest}"
+
+
+_NATION, _REGION, _CUSTOMER = (f"'{BASE}{x}/' || {k}" for x, k in (("nation", "n_nationkey"), ("region", "n_regionkey"), ("customer", "c_custkey")))
+_IN, _SOME = f"{BASE}in", f"{BASE}Some"
+RULE_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "rule_scm_spo": (_one_rule("scm_spo", "below top"), _rule_sql(_NATION, RDFS + "subPropertyOf", f"'{BASE}top'", "nation")),
+    "rule_prp_spo1": (_one_rule("prp_spo1", "of", (_IN, RDFS + "subPropertyOf", f"{BASE}within")), _rule_sql(_CUSTOMER, f"{BASE}within", f"'{BASE}nation/' || c_nationkey", "customer")),
+    "rule_prp_rng": (_one_rule("prp_rng", "of", (_IN, RDFS + "range", f"{BASE}Nation")), _rule_sql(f"'{BASE}nation/' || c_nationkey", TYPE, f"'{BASE}Nation'", "customer")),
+    "rule_prp_symp": (_one_rule("prp_symp", "of", (_IN, TYPE, OWL + "SymmetricProperty")), _rule_sql(f"'{BASE}nation/' || c_nationkey", _IN, _CUSTOMER, "customer")),
+    "rule_prp_fp": (_one_rule("prp_fp", "holds", (f"{BASE}holds", TYPE, OWL + "FunctionalProperty")), _rule_sql(f"'{BASE}nation/' || a.n_nationkey", OWL + "sameAs", f"'{BASE}nation/' || b.n_nationkey", "nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")),
+    "rule_eq_ref": (_one_rule("eq_ref", "of"), _rule_sql(_CUSTOMER, OWL + "sameAs", _CUSTOMER, "customer")),
+    "rule_eq_rep_p": (_one_rule("eq_rep_p", "of", (_IN, OWL + "sameAs", f"{BASE}isIn")), _rule_sql(_CUSTOMER, f"{BASE}isIn", f"'{BASE}nation/' || c_nationkey", "customer")),
+    "rule_eq_rep_o": (_one_rule("eq_rep_o", "in same"), _rule_sql(_NATION, _IN, f"'{BASE}area/' || n_regionkey", "nation")),
+    "rule_cls_hv1": (_one_rule("cls_hv1", "member value on"), _rule_sql(_NATION, _IN, _REGION, "nation")),
+    "rule_cls_hv2": (_one_rule("cls_hv2", "in value on"), _rule_sql(_NATION, TYPE, f"'{BASE}Of' || n_regionkey", "nation")),
+    "rule_cls_svf1": (_one_rule("cls_svf1", "of nation", (_SOME, OWL + "someValuesFrom", f"{BASE}Nation"), (_SOME, OWL + "onProperty", _IN)), _rule_sql(_CUSTOMER, TYPE, f"'{_SOME}'", "customer")),
+    "rule_cls_svf2": (_one_rule("cls_svf2", "of", (_SOME, OWL + "someValuesFrom", OWL + "Thing"), (_SOME, OWL + "onProperty", _IN)), _rule_sql(_CUSTOMER, TYPE, f"'{_SOME}'", "customer")),
+    "rule_cls_avf": (_one_rule("cls_avf", "of customer", (f"{BASE}Listed", OWL + "allValuesFrom", f"{BASE}Place"), (f"{BASE}Listed", OWL + "onProperty", _IN)), _rule_sql(f"'{BASE}nation/' || c_nationkey", TYPE, f"'{BASE}Place'", "customer")),
+}
+
+
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived triples after adding and removing facts step by step, as if derived from scratch."""
     from ternion.reason import fixpoint
@@ -389,13 +443,13 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "turtle_round_trip": (_turtle, "SELECT n_name n, r_name r FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "stats_predicates": (_histogram, "SELECT 'http://example.org/' || c p, count(*) \"count\" FROM (SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) c FROM nation UNION ALL SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) FROM customer) GROUP BY c UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer)"),
     "stats_numbers": (_numeric_histogram, "WITH b AS (SELECT min(p_size) a, (max(p_size) - min(p_size)) / 7.0::DOUBLE w FROM part) SELECT least(CAST(floor((p_size - a) / w) AS INT), 6) bucket, count(*) \"count\" FROM part, b GROUP BY 1"),
-    "range_scan": (_range_scan, "SELECT 'http://example.org/part/' || p_partkey s, p_retailprice x FROM part WHERE p_retailprice BETWEEN 1000 AND 1100"),
+    "range_scan": (_range_scan, "SELECT 'http://example.org/part/' || p_partkey s, p_retailprice x FROM part WHERE p_retailprice BETWEEN 920 AND 950"),
     "prepared": (_prepared, "SELECT n_name n FROM nation WHERE n_regionkey = 1 AND n_nationkey > 3"),
     "reason_rdfs": (_reason("rdfs"), _RDFS_SQL),
     "reason_owl2rl": (_reason("owl2rl"), _OWL_SQL),
-    "reason_same_as": (_same_as, "SELECT 'http://example.org/supplier/' || a.s_suppkey s, b.s_name v FROM supplier a JOIN supplier b ON a.s_suppkey % 5 = b.s_suppkey % 5 AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey <= 12 AND b.s_suppkey <= 12"),
-    "reason_same_as_whole": (_same_as_whole, "SELECT 'http://example.org/supplier/' || a.s_suppkey s, b.s_name v FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"),
+    "reason_same_as": (_same_as, "SELECT 'http://example.org/supplier/' || a.s_suppkey s, b.s_name v FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"),
     "reason_incremental": (_incremental, _INCREMENTAL_SQL),
+    **RULE_QUERIES,
 }
 
 

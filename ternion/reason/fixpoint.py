@@ -61,6 +61,9 @@ def _scan(facts: DataFrame, pattern: Pattern) -> DataFrame:
     return facts.select(*(F.col(c).alias(x) for x, c in seen.items()))
 
 
+#: Predicates of the schema; with the types of OWL they are what instances are reasoned by.
+_SCHEMA = {t.RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range")} | {t.OWL + x for x in ("inverseOf", "hasValue", "onProperty", "someValuesFrom", "allValuesFrom")}
+
 _TESTS = {
     "different": lambda x, y: x != y,
     "iri": lambda x: F.startswith(x, F.lit("I")),
@@ -97,9 +100,21 @@ def _applies(rule: Rule, known: set[str]) -> bool:
     return all((p[0] == "?" or p in known) and (p != t.TYPE or o[0] == "?" or not o.startswith(t.OWL) or o in known) for _, p, o in rule.body)
 
 
-def derive(rules: Iterable[Rule], facts: DataFrame, delta: DataFrame, known: set[str]) -> DataFrame | None:
-    """What the rules derive from facts with at least one pattern matched in delta (a part of facts)."""
+def _of_schema(pattern: tuple[str, str, str]) -> bool:
+    """Whether a body pattern matches schema triples only."""
+    _, p, o = pattern
+    return p in _SCHEMA or (p == t.TYPE and o.startswith(t.OWL))
+
+
+def schema_of(facts: DataFrame) -> DataFrame:
+    """The schema triples among facts: a table of its own, so that Spark knows its size and broadcasts it while it is small."""
+    return facts.filter(F.col("p").isin([f"I{p}" for p in sorted(_SCHEMA)]) | ((F.col("p") == "I" + t.TYPE) & F.startswith(F.col("o"), F.lit("I" + t.OWL))))
+
+
+def derive(rules: Iterable[Rule], facts: DataFrame, delta: DataFrame, known: set[str], schema: DataFrame | None = None) -> DataFrame | None:
+    """What the rules derive from facts with at least one pattern matched in delta (a part of facts).  schema: the facts that schema_of gives."""
     found = []
+    whole = lambda pattern: schema if schema is not None and _of_schema(pattern) else facts
     for rule in rules:
         if not _applies(rule, known):
             continue
@@ -107,19 +122,19 @@ def derive(rules: Iterable[Rule], facts: DataFrame, delta: DataFrame, known: set
             found.append(_heads(rule, [delta]))
             continue
         if delta is facts:
-            found.append(_heads(rule, [facts] * len(rule.body)))
+            found.append(_heads(rule, [whole(p) for p in rule.body]))
             continue
         for i in range(len(rule.body)):
-            found.append(_heads(rule, [delta if i == j else facts for j in range(len(rule.body))]))
+            found.append(_heads(rule, [delta if i == j else whole(p) for j, p in enumerate(rule.body)]))
     return reduce(DataFrame.unionAll, found) if found else None
 
 
 def _closed(rules: list[Rule], facts: DataFrame, delta: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame | None, int]:
-    """All new facts, round by round; ``only`` restricts them.  Facts and new ones are saved each round."""
+    """All new facts, round by round; ``only`` restricts them.  Each round saves the new ones alone."""
     new_facts: list[DataFrame] = []
-    rounds = 0
+    rounds, vocabulary, schema = 0, _vocabulary(facts), saved(schema_of(facts), "schema")
     while rounds < MOST_ROUNDS:
-        made = derive(rules, facts, delta, _vocabulary(facts))
+        made = derive(rules, facts, delta, vocabulary, schema)
         if made is None:
             break
         made = made.distinct().join(facts, SPO, "left_anti")
@@ -130,7 +145,13 @@ def _closed(rules: list[Rule], facts: DataFrame, delta: DataFrame, only: DataFra
         if delta.isEmpty():
             break
         new_facts.append(delta)
-        facts = saved(facts.unionAll(delta), "facts")
+        facts = facts.unionAll(delta)
+        more = _vocabulary(delta)
+        if more & _SCHEMA or any(x.startswith(t.OWL) for x in more):
+            schema = saved(schema.unionAll(schema_of(delta)), "schema")
+        vocabulary |= more
+        if rounds % 8 == 0:  # many folders are read as one again
+            facts = saved(facts, "facts")
     else:
         raise LimitError(f"no fixpoint after {MOST_ROUNDS} rounds")
     return (reduce(DataFrame.unionAll, new_facts) if new_facts else None), rounds

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
@@ -55,7 +56,8 @@ def load(spark: SparkSession, path: str, kind: str | None = None, base: str = ""
 
     N-Triples and N-Quads are read line by line and may have any size.  A file of another format is
     one document: it is parsed whole by one task, many files by many, and must not be larger than
-    ``most_bytes``.  Blank nodes of different files are kept apart.
+    ``most_bytes``.  Blank nodes of different files are kept apart, but for
+    the parts that Spark has written of one graph.
     """
     if ".." in PurePosixPath(path).parts:
         raise LoadError("a path must not go upward")
@@ -73,7 +75,7 @@ def load(spark: SparkSession, path: str, kind: str | None = None, base: str = ""
 
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                tag = f"f{abs(hash(name)) % 10**8}"
+                tag = f"f{hashlib.md5(name.encode()).hexdigest()}"
                 rows = [as_row(*x) for x in parser(bytes(content).decode(), base or name)]
                 made = pd.DataFrame(rows, columns=COLUMNS)
                 for kind_column, column in (("sk", "s"), ("k", "v")):

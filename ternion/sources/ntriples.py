@@ -43,20 +43,23 @@ def canonical_text(k: Column, v: Column, dt: Column) -> Column:
 def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Triples of a DataFrame of lines (column value).  Quads of named graphs are dropped.
 
+    A column ``scope``, if there is one, goes before the names of blank nodes.
+
     strict: a line that is neither a statement, blank nor a comment is an error; else it is skipped.
     """
     at = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
     part = lambda i: F.regexp_extract("value", _LINE, i)
-    at = at.select("value", F.col("value").rlike(_LINE).alias("ok"), *(part(i).alias(f"g{i}") for i in range(1, 11)))
+    scope = F.col("scope") if "scope" in lines.columns else F.lit("")
+    at = at.select("value", scope.alias("scope"), F.col("value").rlike(_LINE).alias("ok"), *(part(i).alias(f"g{i}") for i in range(1, 11)))
     if strict:
         at = at.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.concat(F.lit("no N-Triples: "), F.substring("value", 1, 200))).cast("boolean")))
     at = at.filter("ok and g9 = '' and g10 = ''")
     literal = (F.col("g4") == "") & (F.col("g5") == "") & ~F.col("value").rlike(rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*<>")
     k = F.when(F.col("g5") != "", t.BLANK).when(literal, t.LITERAL).otherwise(t.IRI_KIND)
     dt = F.when(literal, F.when(F.col("g8") != "", t.LANG_STRING).when(F.col("g7") != "", F.col("g7")).otherwise(t.STRING)).otherwise("")
-    text = F.when(k == t.BLANK, F.col("g5")).when(literal, unescaped(F.col("g6"))).otherwise(unescaped(F.col("g4")))
+    text = F.when(k == t.BLANK, F.concat("scope", "g5")).when(literal, unescaped(F.col("g6"))).otherwise(unescaped(F.col("g4")))
     out = at.select(
-        F.when(F.col("g2") != "", t.BLANK).otherwise(t.IRI_KIND).alias("sk"), F.when(F.col("g2") != "", F.col("g2")).otherwise(unescaped(F.col("g1"))).alias("s"), unescaped(F.col("g3")).alias("p"), k.alias("k"), text.alias("v"), dt.alias("dt"), F.when(literal, F.col("g8")).otherwise("").alias("lang")
+        F.when(F.col("g2") != "", t.BLANK).otherwise(t.IRI_KIND).alias("sk"), F.when(F.col("g2") != "", F.concat("scope", "g2")).otherwise(unescaped(F.col("g1"))).alias("s"), unescaped(F.col("g3")).alias("p"), k.alias("k"), text.alias("v"), dt.alias("dt"), F.when(literal, F.col("g8")).otherwise("").alias("lang")
     )
     return out.withColumn("v", canonical_text(F.col("k"), F.col("v"), F.col("dt")))
 
@@ -64,7 +67,9 @@ def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
 def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The distinct triples of files of N-Triples or N-Quads, compressed or not, however large."""
     try:
-        return saved(parse(spark.read.text(path), strict).dropDuplicates(COLUMNS), "loaded")
+        # the parts of one write have one name but for their numbers
+        scope = F.concat(F.lit("f"), F.md5(F.regexp_replace("_metadata.file_path", r"part-\d+", "part")))
+        return saved(parse(spark.read.text(path).select("value", scope.alias("scope")), strict).dropDuplicates(COLUMNS), "loaded")
     except Exception as e:
         if "no N-Triples" in str(e):
             raise RdfError(str(e)[str(e).index("no N-Triples") :].splitlines()[0]) from None

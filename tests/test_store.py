@@ -108,7 +108,8 @@ def test_ntriples_lines(spark, tmp_path):
         f.write("\n".join(lines))
     e = Engine(spark)
     assert e.load(f"{tmp_path}/x.nt.gz") == 5
-    values = {(r.v, r.dt.split("#")[-1], r.lang) for r in e.store.df.collect()}
+    # a blank node's name follows that of its file: f and 32 hex digits
+    values = {(r.v[33:] if r.sk == r.k == 0 else r.v, r.dt.split("#")[-1], r.lang) for r in e.store.df.collect()}
     assert values == {("xé\n", "langString", "en"), ("c", "", ""), ("7", "integer", ""), ("🦄 < > {}", "string", ""), ("", "string", "")}
 
 
