@@ -8,7 +8,6 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternion.errors import UnsupportedError
 from ternion.plans.solution import Info, Solution, common, in_form, meeting
 
 _numbers = count()
@@ -85,6 +84,21 @@ def _merged(meet: _Meeting, df: DataFrame, outer: bool) -> Solution:
     return Solution(df.select(*cols) if cols else df.select(F.lit(1).alias("_one")), infos)
 
 
+def split(side: Solution, n: str) -> list[Solution]:
+    """The rows that bind n, where it is never null, and those that don't, without it."""
+    if not side.infos[n].nullable:
+        return [side]
+    with_n, without = side.filter(F.col(n).isNotNull()), side.filter(F.col(n).isNull())
+    infos = {m: Info(i.kind, i.template) if m == n else i for m, i in side.infos.items()}
+    rest = {m: i for m, i in side.infos.items() if m != n}
+    return [Solution(with_n.df, infos), Solution(without.df.drop(n) if rest else without.df.select(F.lit(1).alias("_one")), rest)]
+
+
+def _unhashed(meet: _Meeting) -> str | None:
+    """A variable that may be unbound, where the sides share no other that both always bind."""
+    return meet.maybe[0] if meet.maybe and len(meet.maybe) == len(meet.shared) and not meet.never else None
+
+
 def join(left: Solution, right: Solution) -> Solution:
     """All pairs that agree.
 
@@ -93,22 +107,8 @@ def join(left: Solution, right: Solution) -> Solution:
     into the rows that bind it on both sides and those that don't, so that the first part is hashed.
     """
     meet = _Meeting(left, right)
-    sure = [n for n in meet.shared if n not in meet.maybe]
-    if meet.maybe and not sure and not meet.never:
-        n = meet.maybe[0]
-        parts = []
-        for l_bound, r_bound in ((True, True), (True, False), (False, True), (False, False)):
-            if not l_bound and not left.infos[n].nullable or not r_bound and not right.infos[n].nullable:
-                continue
-            sides = []
-            for side, is_bound in ((left, l_bound), (right, r_bound)):
-                kept = side.filter(F.col(n).isNotNull() if is_bound else F.col(n).isNull())
-                if is_bound:
-                    kept = Solution(kept.df, kept.infos | {n: Info(side.infos[n].kind, side.infos[n].template)})
-                else:
-                    kept = Solution(kept.df.drop(n), {m: i for m, i in kept.infos.items() if m != n})
-                sides.append(kept)
-            parts.append(join(*sides))
+    if n := _unhashed(meet):
+        parts = [join(x, y) for x in split(left, n) for y in split(right, n)]
         return reduce(union, parts)
     a = Solution(left.df.withColumn("_one", F.lit(1)) if not left.infos else left.df, left.infos)
     b = meet.right
@@ -126,6 +126,11 @@ def join(left: Solution, right: Solution) -> Solution:
 def left_join(left: Solution, right: Solution, test=None) -> Solution:
     """OPTIONAL: every left row, with each right row that agrees and passes ``test`` (a function of the merged scope)."""
     meet = _Meeting(left, right)
+    if _unhashed(meet):
+        matched = join(left, right)
+        if test is not None:
+            matched = matched.filter(F.coalesce(test(matched.scope), F.lit(False)))
+        return union(matched, semi_join(left, right, True, test))
     on = F.lit(False) if meet.never else meet.condition()
     if test is not None:
         scope = {n: meet.right.value(meet.to.get(n, n)) for n in right.infos}
@@ -139,6 +144,12 @@ def left_join(left: Solution, right: Solution, test=None) -> Solution:
 def semi_join(left: Solution, right: Solution, anti: bool = False, test=None) -> Solution:
     """EXISTS and, with ``anti``, NOT EXISTS: left rows that some right row agrees with, or none does."""
     meet = _Meeting(left, right)
+    if n := _unhashed(meet):
+        if left.infos[n].nullable:
+            return reduce(union, (semi_join(part, right, anti, test) for part in split(left, n)))
+        bound, free = split(right, n)
+        rest = semi_join(left, bound, True, test)
+        return semi_join(rest, free, True, test) if anti else union(semi_join(left, bound, False, test), semi_join(rest, free, False, test))
     on = F.lit(False) if meet.never else meet.condition()
     if test is not None:
         scope = {n: meet.right.value(meet.to.get(n, n)) for n in right.infos}
@@ -149,14 +160,20 @@ def semi_join(left: Solution, right: Solution, anti: bool = False, test=None) ->
     return Solution(left.df.join(meet.right.df, on, how), left.infos)
 
 
-def minus(left: Solution, right: Solution) -> Solution:
-    """MINUS: left rows that agree with no right row with which they share a bound variable."""
+def minus(left: Solution, right: Solution, constant: set[str] = frozenset()) -> Solution:
+    """MINUS: left rows that agree with no right row with which they share a bound variable, ``constant`` ones not counted."""
     meet = _Meeting(left, right)
-    if not meet.shared or meet.never:
+    free = [n for n in meet.shared if n not in constant]
+    if not free or meet.never:
         return left
+    if n := _unhashed(meet):
+        if left.infos[n].nullable:
+            return reduce(union, (minus(part, right, constant) for part in split(left, n)))
+        bound, rest = split(right, n)
+        return minus(minus(left, bound, constant), rest, constant)
     on = meet.condition()
-    if all(n in meet.maybe for n in meet.shared):
-        both = [left.value(n).col.isNotNull() & meet.right.value(meet.to[n]).col.isNotNull() for n in meet.shared]
+    if all(n in meet.maybe for n in free):
+        both = [left.value(n).col.isNotNull() & meet.right.value(meet.to[n]).col.isNotNull() for n in free]
         on = on & reduce(lambda a, b: a | b, both)
     return Solution(left.df.join(meet.right.df, on, "left_anti"), left.infos)
 
@@ -173,15 +190,37 @@ def union(left: Solution, right: Solution) -> Solution:
 
 
 def marked(left: Solution, right: Solution, name: str) -> Solution:
-    """Left rows with a boolean column telling whether some right row agrees, for EXISTS inside an expression."""
+    """Left rows with a boolean column telling whether some right row agrees; shared variables are always bound."""
     shared = [n for n in left.infos if n in right.infos]
-    if any(right.infos[n].nullable for n in shared):
-        right = Solution(right.df, right.infos)
     keys = right.only(shared) if shared else Solution(right.df.select(F.lit(1).alias("_one")).limit(1), {})
     keys = Solution(keys.df.distinct().withColumn(name, F.lit(True)), keys.infos | {name: Info("boolean")})
     meet = _Meeting(left, keys)
-    if meet.maybe:
-        raise UnsupportedError("EXISTS in an expression over variables that may be unbound")
     on = F.lit(False) if meet.never else meet.condition()
     df = left.df.join(meet.right.df.select(*meet.to.values(), name), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return Solution(df.select(*left.df.columns, name), left.infos | {name: Info("boolean")})
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    tests = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)]
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+
+def marked_by(left: Solution, hits: Solution, names: list[str], name: str) -> Solution:
+    """Left rows with a boolean column telling whether their values of ``names`` are one of the hits, which are all different."""
+    to = [f"_m{next(_numbers)}_{n}" for n in names]
+    keys = hits.df.select(*(F.col(n).alias(x) for n, x in zip(names, to, strict=True)), F.lit(True).alias(name))
+    df = left.df.join(keys, _same(names, to), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return Solution(df.select(*left.df.columns, name), left.infos | {name: Info("boolean")})
+
+
+def kept_apart(left: Solution) -> tuple[Solution, dict[str, str]]:
+    """Left rows with a copy of each variable under a name of its own, which joins leave as it is."""
+    to = {n: f"_k{next(_numbers)}_{n}" for n in left.infos}
+    df = left.df.select("*", *(F.col(n).alias(x) for n, x in to.items()))
+    return Solution(df, left.infos | {x: left.infos[n] for n, x in to.items()}), to
+
+
+def without(left: Solution, both: Solution, to: dict[str, str]) -> Solution:
+    """Left rows whose values aren't among the copies in ``both``."""
+    keys = both.df.select(*to.values()) if to else both.df.select(F.lit(1).alias("_two"))
+    return Solution(left.df.join(keys, _same(list(to), list(to.values())), "left_anti"), left.infos)

@@ -29,6 +29,7 @@ class Planner:
     def __init__(self, data: Dataset, functions: Registry | None = None):
         self.data, self.functions = data, functions or {}
         self.mentions: Counter[str] = Counter()
+        self.seed: Solution | None = None  # values of outer variables, while a pattern of EXISTS is solved for each of them
 
     def plan(self, node: object, outer: set[str] | None = None) -> Solution:
         """outer: variables that are needed besides those the pattern mentions."""
@@ -37,8 +38,17 @@ class Planner:
         return self.solve(node)
 
     def solve(self, node: object) -> Solution:
+        if self.seed is not None and isinstance(node, _LEAVES):
+            return joins.join(self._under(None, node), self.seed)
         return getattr(self, "_" + type(node).__name__.lower())(node)
 
+    def _under(self, seed: Solution | None, node: object) -> Solution:
+        before, self.seed = self.seed, seed
+        try:
+            return self.solve(node)
+        finally:
+            self.seed = before
+
     def _one(self) -> Solution:
         return Solution(self.data.spark.range(1).select(F.lit(1).alias("_one")), {})
 
@@ -59,20 +69,27 @@ class Planner:
         return path(self.data, node.s, node.path, node.o)
 
     def _join(self, node: a.Join) -> Solution:
-        return joins.join(self.solve(node.left), self.solve(node.right))
+        left, right = (node.right, node.left) if isinstance(node.left, _LEAVES) else (node.left, node.right)
+        # one side with the outer values is enough where the other can't use them
+        return joins.join(self.solve(left), self._under(None, right) if isinstance(right, _LEAVES) else self.solve(right))
 
     def _leftjoin(self, node: a.LeftJoin) -> Solution:
         left, right = self.solve(node.left), self.solve(node.right)
         if node.condition is None:
             return joins.left_join(left, right)
         if a.has_exists(node.condition):
-            raise UnsupportedError("EXISTS in the condition of an OPTIONAL")
+            held, names = joins.kept_apart(left)
+            both = self._where(joins.join(held, right), node.condition)
+            rest = joins.without(left, both, names)
+            return joins.union(both.only([n for n in both.infos if n not in names.values()]), rest)
         return joins.left_join(left, right, lambda scope: condition(node.condition, scope, self.functions))
 
     def _filter(self, node: a.Filter) -> Solution:
-        out = self.solve(node.child)
+        return self._where(self.solve(node.child), node.condition)
+
+    def _where(self, out: Solution, test: object) -> Solution:
         plain, later = [], []
-        for c in a.conjuncts(node.condition):
+        for c in a.conjuncts(test):
             negated, inner = False, c
             while isinstance(inner, a.Call) and inner.op == "!" and a.has_exists(inner):
                 negated, inner = not negated, inner.args[0]
@@ -90,34 +107,60 @@ class Planner:
         if not a.has_exists(c):
             return out.filter(condition(c, out.scope, self.functions))
         names = list(out.infos)
-        marks: list[str] = []
 
         def marked(e: object) -> object:
             nonlocal out
             if isinstance(e, a.Exists):
                 name = f"_mark{next(_marks)}"
-                out = joins.marked(out, self.solve(e.pattern), name)
-                marks.append(name)
+                out = self._marked(out, e.pattern, name)
                 return a.Call("!", (a.Ref(name),)) if e.negated else a.Ref(name)
             return a.Call(e.op, tuple(marked(x) for x in e.args)) if isinstance(e, a.Call) else e
 
         c = marked(c)
         return out.filter(condition(c, out.scope, self.functions)).only(names)
 
+    def _marked(self, left: Solution, pattern: object, name: str) -> Solution:
+        """Left rows with a boolean column telling whether EXISTS holds."""
+        if not _beyond(pattern, set(left.infos)):
+            right = self._under(None, pattern)
+            if not any(left.infos[n].nullable or i.nullable for n, i in right.infos.items() if n in left.infos):
+                return joins.marked(left, right, name)
+        used = set(_mentions(pattern))
+        names = [n for n in left.infos if n in used]
+        keys = left.only(names)
+        return joins.marked_by(left, self._exists(Solution(keys.df.distinct(), keys.infos), pattern, False), names, name)
+
     def _exists(self, left: Solution, pattern: object, anti: bool) -> Solution:
-        """A semi or anti join; filters of the pattern may mention variables of the outer row."""
-        lifted = []
-        scope = a.in_scope(pattern)
-        while isinstance(pattern, a.Filter):
-            inner = []
-            for c in a.conjuncts(pattern.condition):
-                outside = a.references(c) - scope
-                (lifted if outside and not a.has_exists(c) else inner).append(c)
-            pattern = pattern.child
-            if inner:
-                pattern = a.Filter(reduce(lambda x, y: a.Call("&&", (x, y)), inner), pattern)
-                break
-        right = self.solve(pattern)
+        """A semi or anti join.
+
+        An outer row's values stand for its variables everywhere in the pattern.  Mostly a join with
+        the pattern's solutions tells the same.  Where it doesn't (a nested filter or BIND mentions
+        an outer variable, or only the optional or subtracted part has it), UNION is taken apart and
+        filters move up into the join's condition; what is left is solved together with the
+        different values of those variables.
+        """
+        outer = set(left.infos)
+        need = _beyond(pattern, outer)
+        if not need:
+            return joins.semi_join(left, self._under(None, pattern), anti)
+        for n in sorted(need):
+            if left.infos[n].nullable:  # an unbound variable stands for itself
+                return reduce(joins.union, (self._exists(part, pattern, anti) for part in joins.split(left, n)))
+        branches = _branches(pattern)
+        if len(branches) > 1:
+            found, rest = [], left
+            for b in branches:
+                if not anti:
+                    found.append(self._exists(rest, b, False))
+                if anti or b is not branches[-1]:
+                    rest = self._exists(rest, b, True)
+            return rest if anti else reduce(joins.union, found)
+        pattern, lifted = _pulled(pattern, outer)
+        need = _beyond(pattern, outer)
+        if need:  # with the other values that rows always have, so that this is a hash join
+            need |= {n for n in _mentions(pattern) if n in outer and not left.infos[n].nullable} - _assigned(pattern)
+        seed = left.only(sorted(need)) if need else None
+        right = self._under(seed and Solution(seed.df.distinct(), seed.infos), pattern)
         test = None
         if lifted:
 
@@ -130,10 +173,12 @@ class Planner:
         return joins.union(self.solve(node.left), self.solve(node.right))
 
     def _minus(self, node: a.Minus) -> Solution:
-        return joins.minus(self.solve(node.left), self.solve(node.right))
+        return joins.minus(self.solve(node.left), self.solve(node.right), set(self.seed.infos) if self.seed else set())
 
     def _extend(self, node: a.Extend) -> Solution:
         out = self.solve(node.child)
+        if self.seed is not None and node.name in self.seed.infos:
+            raise UnsupportedError("BIND to a variable of the outer pattern in EXISTS")
         return out.with_value(node.name, evaluate(node.value, out.scope, self.functions))
 
     def _values(self, node: a.Values) -> Solution:
@@ -213,6 +258,64 @@ class Planner:
         return Solution(df.select(*out) if out else df.select(F.lit(1).alias("_one")), infos)
 
 
+#: Patterns that are solved as they are; values of outer variables are joined to them.
+_LEAVES = (a.BGP, a.Path, a.Values, a.Empty, a.Graph, a.Service, a.Project, a.Distinct, a.Reduced, a.OrderBy, a.Slice, a.Group)
+
+
+def _beyond(node: object, outer: set[str]) -> set[str]:
+    """The outer variables whose values matter to a pattern of EXISTS otherwise than by agreeing with its solutions."""
+    if isinstance(node, a.Project | a.Group):
+        return set()
+    out = set().union(*(_beyond(c, outer) for c in a.children(node)))
+    if isinstance(node, a.Filter):
+        out |= set(_used(node.condition)) - a.bound(node.child)
+    elif isinstance(node, a.Extend):
+        out |= set(_used(node.value)) - a.bound(node.child)
+    elif isinstance(node, a.LeftJoin):
+        out |= a.in_scope(node.right) - a.bound(node.left)
+        if node.condition is not None:
+            out |= set(_used(node.condition)) - a.bound(node.left) - a.bound(node.right)
+    elif isinstance(node, a.Minus):
+        out |= a.in_scope(node.right)
+    return out & outer
+
+
+def _assigned(node: object) -> set[str]:
+    return set().union({node.name} if isinstance(node, a.Extend) else set(), *(_assigned(c) for c in a.children(node)))
+
+
+def _branches(node: object) -> list:
+    """Patterns without UNION at their top whose solutions together are those of the pattern."""
+    if isinstance(node, a.Union):
+        return [*_branches(node.left), *_branches(node.right)]
+    if isinstance(node, a.Filter):
+        return [a.Filter(node.condition, b) for b in _branches(node.child)]
+    if isinstance(node, a.Join):
+        left, right = _branches(node.left), _branches(node.right)
+        if len(left) * len(right) <= 16:
+            return [a.Join(x, y) for x in left for y in right]
+    return [node]
+
+
+def _pulled(node: object, outer: set[str]) -> tuple[object, list]:
+    """A pattern without the conditions that mention outer variables, and those conditions."""
+    if isinstance(node, a.Filter):
+        child, up = _pulled(node.child, outer)
+        stay = []
+        for c in a.conjuncts(node.condition):
+            outside = (set(_used(c)) & outer) - a.bound(node.child)
+            (up if outside and not a.has_exists(c) else stay).append(c)
+        return (a.Filter(reduce(lambda x, y: a.Call("&&", (x, y)), stay), child) if stay else child), up
+    if isinstance(node, a.Join):
+        sides = [_pulled(x, outer) for x in (node.left, node.right)]
+        for (_, up), own, other in zip(sides, (node.left, node.right), (node.right, node.left), strict=True):
+            # a condition must not come to see what only the other side binds
+            if any((set(_used(c)) & a.in_scope(other)) - a.bound(own) - outer for c in up):
+                return node, []
+        return a.Join(sides[0][0], sides[1][0]), [*sides[0][1], *sides[1][1]]
+    return node, []
+
+
 def _native(term: object, kind: str) -> object:
     if kind == "term":
         return row(canonical(term))

@@ -115,6 +115,30 @@ SPARQL: dict[str, tuple] = {
     "not_exists": ("SELECT ?c WHERE { ?x ex:c_custkey ?c FILTER NOT EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } }", "SELECT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     "exists_correlated": ("SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER EXISTS { ?o ex:o_custkey ?x ; ex:o_totalprice ?t FILTER(?t > ?b * 50) } }", "SELECT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)"),
     "exists_in_or": ("SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER(?b > 9500 || EXISTS { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' }) }", "SELECT c_custkey c FROM customer WHERE c_acctbal > 9500 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
+    "exists_in_union": (
+        "SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER EXISTS { { ?o ex:o_custkey ?x ; ex:o_totalprice ?t FILTER(?t > ?b * 50) } UNION { ?o ex:o_custkey ?x ; ex:o_orderstatus 'P' } } }",
+        "SELECT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_totalprice > c_acctbal * 50 OR o_orderstatus = 'P'))",
+    ),
+    "exists_nested_group": (
+        "SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER NOT EXISTS { ?o ex:o_custkey ?x { ?o ex:o_totalprice ?t FILTER(?t > ?b * 50) } } }",
+        "SELECT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)",
+    ),
+    "exists_optional": (
+        "SELECT ?c WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b FILTER EXISTS { ?o ex:o_custkey ?x OPTIONAL { ?o ex:o_totalprice ?t FILTER(?t > ?b * 50) } FILTER(!BOUND(?t)) } }",
+        "SELECT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice > c_acctbal * 50)",
+    ),
+    "optional_exists": (
+        "SELECT ?n ?s WHERE { ?x ex:n_name ?n OPTIONAL { ?y ex:s_nationkey ?x ; ex:s_name ?s FILTER NOT EXISTS { ?l ex:l_suppkey ?y ; ex:l_quantity 5.0e1 } } }",
+        "SELECT n_name n, s_name s FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)) ON s_nationkey = n_nationkey",
+    ),
+    "optional_chain": (
+        "SELECT ?c ?g ?r WHERE { ?x ex:c_custkey ?c OPTIONAL { ?x ex:c_nationkey ?n . ?n ex:n_regionkey ?g FILTER(?g != <http://example.org/region/0>) } OPTIONAL { ?g ex:r_name ?r } }",
+        "SELECT c_custkey c, 'http://example.org/region/' || r_regionkey g, r_name r FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON n_regionkey = 0 OR r_regionkey = n_regionkey",
+    ),
+    "minus_unbound": (
+        "SELECT ?c ?g WHERE { ?x ex:c_custkey ?c OPTIONAL { ?x ex:c_nationkey ?n . ?n ex:n_regionkey ?g FILTER(?g != <http://example.org/region/0>) } MINUS { ?g ex:r_name ?r FILTER(?r < 'B') } }",
+        "SELECT c_custkey c, CASE WHEN n_regionkey <> 0 THEN 'http://example.org/region/' || n_regionkey END g FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 0 OR n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name < 'B')",
+    ),
     # values, bind, subqueries
     "values": ("SELECT ?k ?n WHERE { VALUES ?k { 1 3 99 } ?x ex:n_nationkey ?k ; ex:n_name ?n }", "SELECT CAST(n_nationkey AS BIGINT) k, n_name n FROM nation WHERE n_nationkey IN (1, 3, 99)"),
     "values_iris": ("SELECT ?x ?n WHERE { VALUES (?x ?y) { (<http://example.org/nation/1> 1) (<http://example.org/region/1> 2) } ?x ex:n_name ?n }", "SELECT 'http://example.org/nation/1' x, n_name n FROM nation WHERE n_nationkey = 1"),

@@ -67,7 +67,7 @@ def value(e, row, graph):
     if isinstance(e, a.Const):
         return canonical(e.term)
     if isinstance(e, a.Exists):
-        found = any(compatible(row, r) for r in solve(e.pattern, graph))
+        found = any(compatible(row, r) for r in solve(e.pattern, graph, row))
         return found != e.negated
     if e.op == "BOUND":
         return e.args[0].name in row
@@ -90,44 +90,48 @@ def value(e, row, graph):
     return {"<": m < n, ">": m > n, "<=": m <= n, ">=": m >= n}[e.op]
 
 
-def solve(node, graph):
-    """Solutions as a list of dicts; an unbound variable is absent."""
+def solve(node, graph, fixed=None):
+    """Solutions as a list of dicts; an unbound variable is absent.  fixed: values that stand for variables, of the row around an EXISTS."""
+    fixed = fixed or {}
+    inside = lambda n: solve(n, graph, fixed)
+    known = lambda *terms: {n: fixed[n] for n in map(name, terms) if n in fixed}
     if isinstance(node, a.BGP):
         rows = [{}]
         for t in node.triples:
-            rows = [r for row in rows for s, p, o in graph if (r := extend(row, ((t.s, s), (t.p, p), (t.o, o)))) is not None]
+            rows = [r for row in rows for s, p, o in graph if (r := extend(row | known(t.s, t.p, t.o), ((t.s, s), (t.p, p), (t.o, o)))) is not None]
         return rows
     if isinstance(node, a.Path):
         found = pairs(graph, node.path)
         for end in (node.s, node.o):
             if name(end) is None and isinstance(node.path, a.Repeat) and node.path.least == 0 and (end, end) not in found:
                 found.append((end, end))
-        return [r for s, o in found if (r := extend({}, ((node.s, s), (node.o, o)))) is not None]
+        return [r for s, o in found if (r := extend(known(node.s, node.o), ((node.s, s), (node.o, o)))) is not None]
     if isinstance(node, a.Join):
-        right = solve(node.right, graph)
-        return [x | y for x in solve(node.left, graph) for y in right if compatible(x, y)]
+        right = inside(node.right)
+        return [x | y for x in inside(node.left) for y in right if compatible(x, y)]
     if isinstance(node, a.LeftJoin):
-        right, out = solve(node.right, graph), []
-        for x in solve(node.left, graph):
+        right, out = inside(node.right), []
+        for x in inside(node.left):
             met = [x | y for y in right if compatible(x, y)]
             if node.condition is not None:
-                met = [r for r in met if value(node.condition, r, graph) is True]
+                met = [r for r in met if value(node.condition, r | fixed, graph) is True]
             out += met or [x]
         return out
     if isinstance(node, a.Filter):
-        return [r for r in solve(node.child, graph) if value(node.condition, r, graph) is True]
+        return [r for r in inside(node.child) if value(node.condition, r | fixed, graph) is True]
     if isinstance(node, a.Union):
-        return solve(node.left, graph) + solve(node.right, graph)
+        return inside(node.left) + inside(node.right)
     if isinstance(node, a.Minus):
-        right = solve(node.right, graph)
-        return [x for x in solve(node.left, graph) if not any(compatible(x, y) and x.keys() & y.keys() for y in right)]
+        right = inside(node.right)
+        return [x for x in inside(node.left) if not any(compatible(x, y) and (x.keys() & y.keys()) - fixed.keys() for y in right)]
     if isinstance(node, a.Values):
-        return [{n: canonical(v) for n, v in zip(node.names, r) if v is not None} for r in node.rows]
+        rows = [{n: canonical(v) for n, v in zip(node.names, r) if v is not None} for r in node.rows]
+        return [r for r in rows if compatible(r, fixed)]
     if isinstance(node, a.Project):
         return [{n: r[n] for n in node.names if n in r} for r in solve(node.child, graph)]
     if isinstance(node, a.Distinct | a.Reduced):
         seen = {}
-        for r in solve(node.child, graph):
+        for r in inside(node.child):
             seen[frozenset(r.items())] = r
         return list(seen.values())
     raise NotImplementedError(type(node).__name__)

@@ -10,7 +10,7 @@ import __spark_entry__
 from ternion import queries
 
 TINY = "/root/testdata/sf0.001"
-SOME = "bgp_star bgp_everything bgp_triangle optional_outer_filter optional_then_join union_different_variables minus not_exists exists_in_or values_undef subquery order_unbound group_concat group_unbound_key path_plus path_star fn_strings fn_casts construct update reason_owl2rl prepared".split()
+SOME = "bgp_star bgp_everything bgp_triangle optional_outer_filter optional_then_join union_different_variables minus not_exists exists_in_or exists_in_union exists_nested_group exists_optional optional_exists optional_chain minus_unbound values_undef subquery order_unbound group_concat group_unbound_key path_plus path_star fn_strings fn_casts construct update reason_owl2rl prepared".split()
 
 
 def rows(columns, values):
