@@ -155,16 +155,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def _sums(values: np.ndarray, k: int, step: np.uint64) -> np.ndarray:
+    """The sum of value * step ** j over the k values from each place on, put together from sums over 1, 2, 4 … values."""
+    n = len(values) - k + 1
+    power = lambda e: np.uint64(pow(int(step), e, 1 << 64))
+    total, done, block, size = np.zeros(n, np.uint64), 0, values, 1
+    while True:
+        if k & size:
+            total += block[done : done + n] * power(done)
+            done += size
+        if 2 * size > k:
+            return total
+        block = block[:-size] + block[size:] * power(size)
+        size *= 2
+
+
 def window_hashes(hashed: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each word on, and whether those k words lie in one row."""
     n = len(hashed) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total, factor = np.zeros(n, np.uint64), np.uint64(1)
-    for j in range(k):
-        total += hashed[j : j + n] * factor
-        factor = np.uint64(int(factor) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
-    return mix(total), row[:n] == row[k - 1 :]
+    return mix(_sums(hashed, k, _STEP)), row[:n] == row[k - 1 :]
+
+
+def window_checks(hashed: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits of the k words from each word on, independent of window_hashes."""
+    if len(hashed) < k:
+        return np.zeros(0, np.int32)
+    return (mix(_sums(mix(hashed ^ _BASE), k, _INVERSE)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def least_of(hashed: np.ndarray, span: int) -> np.ndarray:
@@ -172,7 +190,7 @@ def least_of(hashed: np.ndarray, span: int) -> np.ndarray:
     n = len(hashed) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, where = hashed[:n].copy(), np.zeros(n, np.int8)
+    best, where = hashed[:n].copy(), np.zeros(n, np.int8 if span < 128 else np.int64)
     for j in range(1, span):
         lower = hashed[j : j + n] < best
         np.copyto(best, hashed[j : j + n], where=lower)

@@ -15,43 +15,60 @@ from ternion.llm.common import saved
 
 #: Text that one group of documents holds on average.
 BUCKET_BYTES = 4 << 20
+#: Words of a window at the first level.
+FIRST_WORDS = 4
 
 
 def _columns(table: pa.Table):
-    """For each slice of a bucket: ids, whether the id is known, word bounds, rows and hashes."""
+    """For each slice of a bucket: the slice, ids, whether the id is known, word bounds, rows and hashes."""
     for part in bytewords.slices(table, "text"):
         ids = part.column("id")
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         known = np.asarray(ids.is_valid())
         data, at = bytewords.buffer(part.column("text"))
         starts, ends, row = bytewords.words(data, at, ~bytewords.SPACE[data])
-        yield np.asarray(ids.fill_null(0)), known, data, at, starts, ends, row, bytewords.word_hashes(data, starts, ends)
+        yield part, np.asarray(ids.fill_null(0)), known, data, starts, ends, row, bytewords.word_hashes(data, starts, ends)
 
 
-def _windows(known: np.ndarray, row: np.ndarray, hashed: np.ndarray, short: int, full: int):
-    """Start, hash and anchor (hash of the short window chosen from it) of every full window.
+def _full(known: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
+    """Where a window of that many words of one row with a known id starts."""
+    n = max(0, len(row) - length + 1)
+    return np.flatnonzero((row[:n] == row[len(row) - n :]) & known[row[:n]])
 
-    Of the short windows inside a full one the leftmost with the least hash is its anchor, so equal
-    full windows have equal anchors and only about a quarter of all short windows are anchors.
-    """
-    wide, good = bytewords.window_hashes(hashed, row, full)
-    at = np.flatnonzero(good & known[row[: len(wide)]]) if len(wide) else np.zeros(0, np.int64)
-    narrow, _ = bytewords.window_hashes(hashed, row, short)
-    anchor = bytewords.least_of(narrow, full - short + 1)
-    return at, wide[at], narrow[anchor[at]] if len(at) else np.zeros(0, np.uint64)
 
+def _survivors(known: np.ndarray, row: np.ndarray, hashed: np.ndarray, levels: list[int], level: int, repeated: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the windows of a level that extend a repeated window of the level before.
 
-def _grouped(hashed: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes with the least id of each and whether it has more than one id."""
-    h = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+    Every window has one anchor among the windows of the level before inside it: the leftmost with
+    the least hash.  So equal windows have equal anchors, and only the anchors of a level are looked
+    up there.  A window goes on if its anchor is repeated (``repeated``: sorted hashes of the level
+    before; None at the first level).
+    """
+    at = _full(known, row, levels[-1])
+    for i in range(len(levels) - 2, level - 1, -1):
+        narrow, _ = bytewords.window_hashes(hashed, row, levels[i])
+        at = np.unique(bytewords.least_of(narrow, levels[i + 1] - levels[i] + 1)[at])
+    if level and len(at):
+        narrow, _ = bytewords.window_hashes(hashed, row, levels[level - 1])
+        at = at[_member(narrow[bytewords.least_of(narrow, levels[level] - levels[level - 1] + 1)[at]], repeated)]
+    return at, bytewords.window_hashes(hashed, row, levels[level])[0][at]
+
+
+def _grouped(hashes: list[np.ndarray], checks: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, check) with the least id of each and whether it has more than one id."""
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    c = np.concatenate(checks) if checks else np.zeros(0, np.int32)
     d = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     if not len(h):
-        return h, d, np.zeros(0, bool)
+        return h, c, d, np.zeros(0, bool)
     order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    same = h[order][1:] == h[order][:-1]
+    if (same & (c[order][1:] != c[order][:-1])).any():
+        order = np.lexsort((c, h))
+    h, c, d = h[order], c[order], d[order]
+    cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
     least = np.minimum.reduceat(d, cut)
-    return h[cut], least, np.maximum.reduceat(d, cut) != least
+    return h[cut], c[cut], least, np.maximum.reduceat(d, cut) != least
 
 
 def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -61,11 +78,25 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
+def _firsts(hashes: np.ndarray, checks: np.ndarray, answers: tuple[np.ndarray, np.ndarray, np.ndarray], none: int) -> np.ndarray:
+    """The id that the answers (hashes in order, checks, ids) give for each (hash, check), or ``none``."""
+    of, check, first = answers
+    out = np.full(len(hashes), none, np.int64)
+    if len(of):
+        left, right = np.searchsorted(of, hashes), np.searchsorted(of, hashes, "right")
+        for step in range(int((right - left).max(initial=0))):  # once, but where hashes clash
+            at = np.minimum(left + step, len(of) - 1)
+            hit = (left + step < right) & (check[at] == checks)
+            out[hit] = first[at[hit]]
+    return out
+
+
 def _bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+    # rows that agree in id and text are told apart by the part of the input that holds them
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(n)))
 
 
 def _level(grouped, answers: DataFrame | None, make, schema: str) -> DataFrame:
@@ -80,17 +111,54 @@ def _sorted_hashes(answers: pa.Table | None) -> np.ndarray:
     return np.sort(answers.column("hash").to_numpy().view(np.uint64))
 
 
-def _asks_table(bucket: int, h: np.ndarray, least: np.ndarray, many: np.ndarray) -> pa.Table:
-    return pa.table({"bucket": pa.array(np.full(len(h), bucket, np.int64)), "hash": pa.array(h.view(np.int64)), "least": pa.array(least.astype(np.int64)), "many": pa.array(many)})
+def _sorted_answers(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, with their checks and first ids."""
+    if not answers.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    h = answers.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    return h[order], answers.column("check").to_numpy()[order], answers.column("first").to_numpy()[order]
 
 
-_ASKS = "bucket long, hash long, least long, many boolean"
-_NO_ASKS = pa.schema([("bucket", pa.int64()), ("hash", pa.int64()), ("least", pa.int64()), ("many", pa.bool_())])
+#: What a bucket asks at a level: each hash once, and whether several of its documents have the window.
+_ASKS = "bucket long, hash long, many boolean"
+#: At the last level with more bits of the words and the least id.
+_LAST_ASKS = "bucket long, hash long, check int, least long, many boolean"
 
 
 def repeated_levels(min_words: int) -> list[int]:
-    """Window lengths up to ``min_words``, each under or at twice the one before: 13 gives 7, 13."""
-    return [math.ceil(min_words / 2), min_words]
+    """Window lengths: 4, twice that, four times … and ``min_words`` at last: 13 gives 4, 8, 13."""
+    levels, n = [], FIRST_WORDS
+    while n < min_words:
+        levels.append(n)
+        n *= 2
+    return [*levels, min_words]
+
+
+def _asks(levels: list[int], level: int, last: bool):
+    """What a bucket asks about the windows of a level, from the answers to the level before."""
+
+    def run(table: pa.Table, answers: pa.Table | None) -> pa.Table:
+        repeated = None if level == 0 else _sorted_hashes(answers)
+        hashes, checks, ids = [], [], []
+        if table.num_rows and (level == 0 or len(repeated)):
+            for _p, doc, known, _d, _s, _e, row, hashed in _columns(table):
+                at, found = _survivors(known, row, hashed, levels, level, repeated)
+                hashes.append(found)
+                checks.append(bytewords.window_checks(hashed, levels[level])[at] if last else np.zeros(len(at), np.int32))
+                ids.append(doc[row[at]])
+        h, c, least, many = _grouped(hashes, checks, ids)
+        made = {"bucket": pa.array(np.full(len(h), table.column("bucket")[0].as_py() if table.num_rows else 0, np.int64)), "hash": pa.array(h.view(np.int64))}
+        more = {"check": pa.array(c), "least": pa.array(least.astype(np.int64))} if last else {}
+        return pa.table(made | more | {"many": pa.array(many)})
+
+    return run
+
+
+def _repeated(asked: DataFrame) -> DataFrame:
+    """The (bucket, hash) whose window is in several documents."""
+    one = Window.partitionBy("hash")
+    return asked.withColumn("n", F.count("*").over(one)).withColumn("any", F.max("many").over(one)).filter("n > 1 or any").select("bucket", "hash")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -101,66 +169,41 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
     ``kept`` has the other words, joined by one space; ``spans`` the removed runs of words as
     (first, end) word numbers.
 
-    Levels: short windows (half the length) that occur in one document only are dropped; the
-    others alone are extended to the full length and looked up again.  Longer repeats consist of
-    repeated windows of this length, so further doubling can't remove more; ``longest_repeats``
+    Levels: windows of 4 words that are in one document only are dropped; the others alone are
+    extended to 8 words and looked up again, and so on to the full length.  Longer repeats consist
+    of repeated windows of this length, so further doubling can't remove more; ``longest_repeats``
     goes on doubling until nothing survives.
 
-    Documents are dealt out once into buckets of some MB.  A bucket asks about each hash once,
-    with its least document id, so a passage that a third of all documents share is one row per
-    bucket, and the answer is whether an earlier bucket member exists elsewhere.  Hashes have 64 bits.
+    Documents are dealt out once into buckets of some MB.  A bucket asks about each window once, so a
+    passage that a third of all documents share is one row per bucket, and at the last level the
+    answer is the least id that has it.  Windows are then equal if 96 bits of two hashes are: among
+    the 10 ** 13 windows of 100 TB two different ones are expected to agree in less than one of a
+    thousand runs.  The levels before compare 64 bits, which can only let more through.
 
     A null text has no words.  Rows with a null id keep all words and remove none elsewhere.  Rows
     with equal ids don't remove from each other.  Texts shorter than a window stay.  An empty table
     gives no rows; other columns are ignored.
     """
-    short, full = repeated_levels(min_words)
+    levels = repeated_levels(min_words)
     dealt = _bucketed(docs, id_col, text_col, bucket_bytes)
-    groups = lambda: dealt.groupBy("bucket")  # noqa: E731  the three uses share one exchange of the texts
-
-    def short_asks(table: pa.Table, _) -> pa.Table:
-        hashes, ids = [], []
-        for doc, known, _d, _a, _s, _e, row, hashed in _columns(table):
-            at, _, anchor = _windows(known, row, hashed, short, full)
-            step = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[at][1:] != row[at][:-1])] if len(at) else np.zeros(0, bool)
-            hashes.append(anchor[step])
-            ids.append(doc[row[at[step]]])
-        return _asks_table(table.column("bucket")[0].as_py(), *_grouped(hashes, ids))
-
-    def full_asks(table: pa.Table, answers: pa.Table) -> pa.Table:
-        repeated, hashes, ids = _sorted_hashes(answers), [], []
-        if not table.num_rows or not len(repeated):
-            return _NO_ASKS.empty_table()
-        for doc, known, _d, _a, _s, _e, row, hashed in _columns(table):
-            at, wide, anchor = _windows(known, row, hashed, short, full)
-            survives = _member(anchor, repeated)
-            hashes.append(wide[survives])
-            ids.append(doc[row[at[survives]]])
-        return _asks_table(table.column("bucket")[0].as_py(), *_grouped(hashes, ids))
+    groups = lambda: dealt.groupBy("bucket")  # noqa: E731  all uses share one exchange of the texts
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        earlier, held = _sorted_hashes(answers), []
-        hashes, ids = [], []
         if not table.num_rows:
             return _CUT.empty_table()
-        for part in bytewords.slices(table, "text"):
-            for doc, known, _d, _a, _s, _e, row, hashed in _columns(part):
-                wide, good = bytewords.window_hashes(hashed, row, full)
-                at = np.flatnonzero(good & known[row[: len(wide)]]) if len(wide) else np.zeros(0, np.int64)
-                hashes.append(wide[at])
-                ids.append(doc[row[at]])
-                held.append((part, at, wide[at]))
-        own, least, _ = _grouped(hashes, ids)
-        del hashes, ids
+        told = _sorted_answers(answers)
         out = {k: [] for k in _CUT.names}
-        for part, at, wide in held:
-            (doc, _k, data, offsets, starts, ends, row, _h) = next(iter(_columns(part)))
-            if len(at):
-                covered = _member(wide, earlier) | (least[np.searchsorted(own, wide)] < doc[row[at]])
+        for part, doc, known, data, starts, ends, row, hashed in _columns(table):
             marks = np.zeros(len(starts) + 1, np.int64)
+            at = _full(known, row, min_words) if len(told[0]) else np.zeros(0, np.int64)
             if len(at):
-                np.add.at(marks, at[covered], 1)
-                np.add.at(marks, at[covered] + full, -1)
+                wide = bytewords.window_hashes(hashed, row, min_words)[0][at]
+                hit = _member(wide, told[0])
+                at, wide = at[hit], wide[hit]
+                own = doc[row[at]]
+                at = at[_firsts(wide, bytewords.window_checks(hashed, min_words)[at], told, np.iinfo(np.int64).max) < own]
+                marks[: len(starts)] += np.bincount(at, minlength=len(starts))
+                marks[min_words:] -= np.bincount(at, minlength=len(starts) + 1 - min_words)
             gone = np.cumsum(marks)[:-1] > 0
             raw, first = data.tobytes(), np.searchsorted(row, np.arange(part.num_rows + 1))
             for i in range(part.num_rows):
@@ -175,12 +218,12 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
             out["id"].extend(part.column("id").to_pylist())
         return pa.table(out, schema=_CUT)
 
-    one = Window.partitionBy("hash")
-    asked = _level(groups(), None, short_asks, _ASKS)
-    shared = asked.withColumn("n", F.count("*").over(one)).withColumn("any", F.max("many").over(one)).filter("n > 1 or any").select("bucket", "hash")
-    asked = _level(groups(), shared, full_asks, _ASKS)
-    earlier = asked.withColumn("first", F.min("least").over(one)).filter("first < least").select("bucket", "hash")
-    return _level(groups(), earlier, cut, "id long, n_words long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
+    answers = None
+    for i in range(len(levels) - 1):
+        answers = _repeated(_level(groups(), answers, _asks(levels, i, False), _ASKS))
+    asked = _level(groups(), answers, _asks(levels, len(levels) - 1, True), _LAST_ASKS)
+    earliest = asked.withColumn("first", F.min("least").over(Window.partitionBy("hash", "check"))).filter("many or first < least").select("bucket", "hash", "check", "first")
+    return _level(groups(), earliest, cut, "id long, n_words long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
 
 
 def longest_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -188,48 +231,40 @@ def longest_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
 
     Windows repeated at one length alone are extended to twice that length, until no candidates
     survive.  A window of twice the length is a candidate if both its halves are repeated.  Each
-    level's repeated windows are saved.  Nulls and short texts have 0, as have rows with a null id.
+    level's repeated windows are saved, told by 64 bits.  Nulls and short texts have 0, as have rows
+    with a null id.
     """
-    short, full = repeated_levels(min_words)
+    shorter = repeated_levels(min_words)
     dealt = _bucketed(docs, id_col, text_col, bucket_bytes)
-    one = Window.partitionBy("hash")
 
-    def asks(length: int, before: int | None):
-        """Asks about windows of a length; of the two halves (or the anchor) that ``before`` long windows tell."""
-
-        def run(table: pa.Table, answers: pa.Table | None) -> pa.Table:
-            repeated, hashes, ids = _sorted_hashes(answers), [], []
-            if not table.num_rows or before is not None and not len(repeated):
-                return _NO_ASKS.empty_table()
-            for doc, known, _d, _a, _s, _e, row, hashed in _columns(table):
-                if length == short:
-                    at, _, value = _windows(known, row, hashed, short, full)
-                elif length == full:
-                    at, value, anchor = _windows(known, row, hashed, short, full)
-                    keep = _member(anchor, repeated)
-                    at, value = at[keep], value[keep]
-                else:
-                    half, _ = bytewords.window_hashes(hashed, row, before)
-                    wide, good = bytewords.window_hashes(hashed, row, length)
-                    again = _member(half, repeated)
-                    at = np.flatnonzero(good & known[row[: len(wide)]] & again[: len(wide)] & again[before : before + len(wide)]) if len(wide) else np.zeros(0, np.int64)
-                    value = wide[at]
-                hashes.append(value)
+    def doubled(length: int):
+        """Asks about windows of a length both halves of which are repeated."""
+
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            repeated, hashes, checks, ids = _sorted_hashes(answers), [], [], []
+            for _p, doc, known, _d, _s, _e, row, hashed in _columns(table):
+                half, _ = bytewords.window_hashes(hashed, row, length // 2)
+                again = _member(half, repeated)
+                at = _full(known, row, length)
+                at = at[again[at] & again[at + length // 2]]
+                hashes.append(bytewords.window_hashes(hashed, row, length)[0][at])
+                checks.append(np.zeros(len(at), np.int32))
                 ids.append(doc[row[at]])
-            return _asks_table(table.column("bucket")[0].as_py(), *_grouped(hashes, ids))
+            h, _, _, many = _grouped(hashes, checks, ids)
+            return pa.table({"bucket": pa.array(np.full(len(h), table.column("bucket")[0].as_py() if table.num_rows else 0, np.int64)), "hash": pa.array(h.view(np.int64)), "many": pa.array(many)})
 
         return run
 
-    answers, before, length, levels = None, None, short, []
+    answers, levels, i = None, [], 0
     while True:
-        asked = _level(dealt.groupBy("bucket"), answers, asks(length, before), _ASKS)
-        shared = asked.withColumn("n", F.count("*").over(one)).withColumn("any", F.max("many").over(one)).filter("n > 1 or any")
-        answers = saved(shared.select("bucket", "hash"), "repeats")
+        length = shorter[i] if i < len(shorter) else 2 * length
+        asked = _level(dealt.groupBy("bucket"), answers, _asks(shorter, i, False) if i < len(shorter) else doubled(length), _ASKS)
+        answers = saved(_repeated(asked), "repeats")
         if answers.isEmpty():
             break
-        if length >= full:
+        if length >= min_words:
             levels.append(answers.withColumn("length", F.lit(length)))
-        before, length = length, full if length == short else 2 * length
+        i += 1
     if not levels:
         return dealt.select("id", F.lit(0).cast("long").alias("longest"))
 
@@ -241,7 +276,7 @@ def longest_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
         found = []
         for part in bytewords.slices(table, "text"):
             best = np.zeros(part.num_rows, np.int64)
-            for _doc, known, _d, _a, _s, _e, row, hashed in _columns(part):
+            for _p, _doc, known, _d, _s, _e, row, hashed in _columns(part):
                 for n in np.unique(lengths).tolist():
                     wide, good = bytewords.window_hashes(hashed, row, n)
                     if len(wide):
