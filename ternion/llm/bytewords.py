@@ -179,10 +179,13 @@ def window_hashes(hashed: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def window_checks(hashed: np.ndarray, k: int) -> np.ndarray:
-    """32 more bits of the k words from each word on, independent of window_hashes."""
+    """32 more bits of the k words from each word on, independent of window_hashes, in the upper half of a number.
+
+    Next to a hash and an id these are one run of bytes, which shuffles smaller than two runs.
+    """
     if len(hashed) < k:
-        return np.zeros(0, np.int32)
-    return (mix(_sums(mix(hashed ^ _BASE), k, _INVERSE)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return np.zeros(0, np.int64)
+    return (mix(_sums(mix(hashed ^ _BASE), k, _INVERSE)) & np.uint64(0xFFFFFFFF00000000)).view(np.int64)
 
 
 def least_of(hashed: np.ndarray, span: int) -> np.ndarray:

@@ -50,14 +50,14 @@ def _survivors(known: np.ndarray, row: np.ndarray, hashed: np.ndarray, levels: l
         at = np.unique(bytewords.least_of(narrow, levels[i + 1] - levels[i] + 1)[at])
     if level and len(at):
         narrow, _ = bytewords.window_hashes(hashed, row, levels[level - 1])
-        at = at[_member(narrow[bytewords.least_of(narrow, levels[level] - levels[level - 1] + 1)[at]], repeated)]
+        at = at[_member((narrow >> _SPARED)[bytewords.least_of(narrow, levels[level] - levels[level - 1] + 1)[at]], repeated)]
     return at, bytewords.window_hashes(hashed, row, levels[level])[0][at]
 
 
 def _grouped(hashes: list[np.ndarray], checks: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hash, check) with the least id of each and whether it has more than one id."""
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    c = np.concatenate(checks) if checks else np.zeros(0, np.int32)
+    c = np.concatenate(checks) if checks else np.zeros(0, np.int64)
     d = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     if not len(h):
         return h, c, d, np.zeros(0, bool)
@@ -114,7 +114,7 @@ def _sorted_hashes(answers: pa.Table | None) -> np.ndarray:
 def _sorted_answers(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes in order, with their checks and first ids."""
     if not answers.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = answers.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(h, kind="stable")
     return h[order], answers.column("check").to_numpy()[order], answers.column("first").to_numpy()[order]
@@ -123,7 +123,9 @@ def _sorted_answers(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarr
 #: What a bucket asks at a level: each hash once, and whether several of its documents have the window.
 _ASKS = "bucket long, hash long, many boolean"
 #: At the last level with more bits of the words and the least id.
-_LAST_ASKS = "bucket long, hash long, check int, least long, many boolean"
+_LAST_ASKS = "bucket long, check long, hash long, least long, many boolean"
+#: At the levels before, hashes lose so many bits: 48 let one in a hundred windows of 100 TB through in vain.
+_SPARED = np.uint64(16)
 
 
 def repeated_levels(min_words: int) -> list[int]:
@@ -144,13 +146,12 @@ def _asks(levels: list[int], level: int, last: bool):
         if table.num_rows and (level == 0 or len(repeated)):
             for _p, doc, known, _d, _s, _e, row, hashed in _columns(table):
                 at, found = _survivors(known, row, hashed, levels, level, repeated)
-                hashes.append(found)
-                checks.append(bytewords.window_checks(hashed, levels[level])[at] if last else np.zeros(len(at), np.int32))
+                hashes.append(found if level == len(levels) - 1 else found >> _SPARED)
+                checks.append(bytewords.window_checks(hashed, levels[level])[at] if last else np.zeros(len(at), np.int64))
                 ids.append(doc[row[at]])
         h, c, least, many = _grouped(hashes, checks, ids)
-        made = {"bucket": pa.array(np.full(len(h), table.column("bucket")[0].as_py() if table.num_rows else 0, np.int64)), "hash": pa.array(h.view(np.int64))}
-        more = {"check": pa.array(c), "least": pa.array(least.astype(np.int64))} if last else {}
-        return pa.table(made | more | {"many": pa.array(many)})
+        made = {"bucket": np.full(len(h), table.column("bucket")[0].as_py() if table.num_rows else 0, np.int64), "check": c, "hash": h.view(np.int64), "least": least, "many": many}
+        return pa.table({k: pa.array(v) for k, v in made.items() if last or k not in ("check", "least")})
 
     return run
 
@@ -176,9 +177,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
 
     Documents are dealt out once into buckets of some MB.  A bucket asks about each window once, so a
     passage that a third of all documents share is one row per bucket, and at the last level the
-    answer is the least id that has it.  Windows are then equal if 96 bits of two hashes are: among
+    answer is whether an earlier id has it elsewhere, or else its least id in the bucket.  Windows are then equal if 96 bits of two hashes are: among
     the 10 ** 13 windows of 100 TB two different ones are expected to agree in less than one of a
-    thousand runs.  The levels before compare 64 bits, which can only let more through.
+    thousand runs.  The levels before compare 48 bits, which can only let more through.
 
     A null text has no words.  Rows with a null id keep all words and remove none elsewhere.  Rows
     with equal ids don't remove from each other.  Texts shorter than a window stay.  An empty table
@@ -222,7 +223,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
     for i in range(len(levels) - 1):
         answers = _repeated(_level(groups(), answers, _asks(levels, i, False), _ASKS))
     asked = _level(groups(), answers, _asks(levels, len(levels) - 1, True), _LAST_ASKS)
-    earliest = asked.withColumn("first", F.min("least").over(Window.partitionBy("hash", "check"))).filter("many or first < least").select("bucket", "hash", "check", "first")
+    # what another bucket has earlier is earlier than all here: least of all numbers, a value that shuffles small
+    earliest = asked.withColumn("first", F.min("least").over(Window.partitionBy("hash", "check"))).filter("many or first < least")
+    earliest = earliest.select("bucket", "check", "hash", F.when(F.col("first") < F.col("least"), F.lit(-(1 << 63))).otherwise(F.col("least")).alias("first"))
     return _level(groups(), earliest, cut, "id long, n_words long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
 
 
@@ -248,7 +251,7 @@ def longest_repeats(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
                 at = _full(known, row, length)
                 at = at[again[at] & again[at + length // 2]]
                 hashes.append(bytewords.window_hashes(hashed, row, length)[0][at])
-                checks.append(np.zeros(len(at), np.int32))
+                checks.append(np.zeros(len(at), np.int64))
                 ids.append(doc[row[at]])
             h, _, _, many = _grouped(hashes, checks, ids)
             return pa.table({"bucket": pa.array(np.full(len(h), table.column("bucket")[0].as_py() if table.num_rows else 0, np.int64)), "hash": pa.array(h.view(np.int64)), "many": pa.array(many)})

@@ -66,12 +66,12 @@ def test_sums_against_term_by_term(n):
 
 def test_windows_of_one_hash_are_told_apart():
     """Windows that agree in the 64 bits, but not in the check, are different ones."""
-    h, c, d = np.array([5, 5, 5, 7], np.uint64), np.array([2, 1, 2, 1], np.int32), np.array([10, 20, 30, 40])
+    h, c, d = np.array([5, 5, 5, 7], np.uint64), np.array([2, 1, 2, 1]), np.array([10, 20, 30, 40])
     hashes, checks, least, many = substring._grouped([h[:2], h[2:]], [c[:2], c[2:]], [d[:2], d[2:]])
     assert hashes.tolist() == [5, 5, 7] and checks.tolist() == [1, 2, 1]
     assert least.tolist() == [20, 10, 40] and many.tolist() == [False, True, False]
-    told = (np.array([5, 5, 7], np.uint64), np.array([1, 2, 1], np.int32), np.array([20, 10, 40]))
-    asked = np.array([5, 5, 5, 6, 7, 7, 9], np.uint64), np.array([1, 2, 3, 1, 1, 2, 1], np.int32)
+    told = (np.array([5, 5, 7], np.uint64), np.array([1, 2, 1]), np.array([20, 10, 40]))
+    asked = np.array([5, 5, 5, 6, 7, 7, 9], np.uint64), np.array([1, 2, 3, 1, 1, 2, 1])
     assert substring._firsts(*asked, told, -1).tolist() == [20, 10, -1, -1, 40, -1, -1]
 
 
