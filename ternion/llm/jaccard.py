@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: min-hash bands find candidates, whole sets verify them."""
+"""Near-duplicates by the Jaccard similarity of word shingles: the SimHash index and, for what is too far for it, min-hash bands find candidates; whole sets verify them."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from ternion.llm.pii import _filter_of, _in_filter
 
 #: Words of a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
+#: Bits that linked SimHashes differ in at most; at a similarity of 0.8 about 10 are expected.
+BITS = 10
 #: Bands of an index key each, and the min-hashes of one: a pair of similarity s shares no key with a
 #: chance of (1 - s ** ROWS) ** BANDS, which is 3 in a million at 0.8.
 BANDS, ROWS = 24, 4
@@ -73,16 +75,19 @@ def _keys(found: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """(id, text_hash, cls, n, keys) of each row: cls tells the set of shingles (0: none), n is its size."""
+    """(id, text_hash, cls, n, keys, fp) of each row: cls tells the set of shingles (0: none), n is its size, fp is the SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # a task gives the keys of a set once, or again after many others
+        done: set[int] = set()  # a task gives the keys and SimHash of a set once, or again after many others
         for batch in batches:
             for part in bytewords.slices(batch, "text"):
                 row, found = shingles(part.column("text"), k)
                 cls, n = np.zeros(part.num_rows, np.uint64), np.bincount(row, minlength=part.num_rows)
                 keys: list = [None] * part.num_rows
+                fps: list = [None] * part.num_rows
                 if len(row):
+                    data, at = bytewords.buffer(part.column("text"))
+                    raw = data.tobytes()
                     held, first = np.unique(row, return_index=True)
                     cls[held] = bytewords.mix(np.add.reduceat(bytewords.mix(found), first) + n[held].astype(np.uint64)) | np.uint64(1)
                     table = _keys(found, first).view(np.int64)
@@ -90,11 +95,12 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
                         if (c := int(cls[r])) not in done:
                             done.add(c)
                             keys[r] = table[i]
+                            fps[r] = simhash.signed_fingerprint(raw[at[r] : at[r + 1]], k)
                     if len(done) > REMEMBERED:
                         done.clear()
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), _signed(cls), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "cls", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), _signed(cls), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["id", "text_hash", "cls", "n", "keys", "fp"])
 
-    return bytewords.mapped(rows, run, "id long, text_hash long, cls long, n long, keys array<long>")
+    return bytewords.mapped(rows, run, "id long, text_hash long, cls long, n long, keys array<long>, fp long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -137,6 +143,17 @@ def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _indexed(each: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of the SimHash index: the sets of one fingerprint with the least of them, and least ones along the index's links."""
+    fps = saved(each.filter("fp is not null").select("fp", "cls", "n").distinct(), "fingerprints")
+    least = saved(fps.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("one")), "classes")
+    one, two = (least.select(F.col("fp").alias(f"_{c}"), F.col("one").alias(f"_one{c}")) for c in "ab")
+    equal = fps.join(one, F.col("fp") == F.col("_a")).select(F.struct("cls", "n").alias("_onea"), F.col("_onea").alias("_oneb"))
+    linked = simhash.links(least.select("fp"), BITS).join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("_onea", "_oneb")
+    pairs = equal.union(linked).filter((F.col("_onea.cls") != F.col("_oneb.cls")) & _alike(F.col("_onea.n"), F.col("_oneb.n"), similarity))
+    return saved(pairs.select(*_pair(F.col("_onea.cls"), F.col("_oneb.cls"))).distinct(), "pairs")
+
+
 def _apart(kept: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, cls, n, part, most): the postings of keys that hold sets of several components, each with its own and the largest one there."""
     placed = kept.select("key", "cls", "n").join(components(edges), F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("part"))
@@ -161,7 +178,9 @@ def _may(similarity: float, n, c, m, d):
 def links(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFrame:
     """Edges (a, b) between sets of at least this similarity that join all candidates which have it, directly or in steps.
 
-    First every set is held against the least and the greatest set under each of its keys, then those
+    First come the candidates of the SimHash index.  A similarity of 0.8 may leave SimHashes without an
+    equal byte, so that index can't be all: then every set is held against the least and the greatest
+    set under each of its min-hash keys, then those
     still apart against the set of the largest component there that has the fewest shingles of its own:
     a large group of near copies grows together around its common form, in rows that grow with the
     group.  What is still apart under a key is compared, all with all but those within the largest
@@ -171,12 +190,13 @@ def links(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFr
     postings = each.filter("keys is not null").select(F.explode("keys").alias("key"), "cls", "n")
     ends = postings.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi")).filter("lo.cls < hi.cls").withColumnRenamed("key", "_k")
     kept = saved(postings.join(ends, F.col("key") == F.col("_k")).select("key", "cls", "n", "lo", "hi").distinct(), "postings")
-    found = kept.select("cls").distinct().withColumnRenamed("cls", "_c")
+    indexed = _indexed(each, similarity)
+    found = kept.select("cls").union(indexed.select("a")).union(indexed.select("b")).distinct().withColumnRenamed("cls", "_c")
     wanted = saved(each.join(found, F.col("cls") == F.col("_c"), "left_semi").groupBy("cls").agg(F.min("text_hash").alias("_hash")), "wanted")
     sets = _sets(rows, wanted, k)
 
     star = kept.select("cls", "n", F.explode(F.array("lo", "hi")).alias("end")).filter((F.col("cls") != F.col("end.cls")) & _alike(F.col("n"), F.col("end.n"), similarity))
-    star = saved(star.select(*_pair(F.col("cls"), F.col("end.cls"))).distinct(), "pairs")
+    star = saved(indexed.union(star.select(*_pair(F.col("cls"), F.col("end.cls")))).distinct(), "pairs")
     edges = saved(_verified(star, sets, similarity), "edges")
 
     apart = _shared(_apart(kept, edges), sets)
@@ -201,7 +221,7 @@ def links(rows: DataFrame, each: DataFrame, k: int, similarity: float) -> DataFr
     first = F.coalesce(*(F.when(F.get("keys", F.lit(i)) == F.get("_keys", F.lit(i)), F.get("keys", F.lit(i))) for i in range(BANDS)))
     once = (first == F.col("key")) & ((F.col("_part") == F.col("_most")) | (F.col("cls") < F.col("_cls")))
     more = left.join(other, meet & once).select(*_pair(F.col("cls"), F.col("_cls"))).distinct()
-    more = saved(_untried(_untried(more, star), near), "pairs")
+    more = saved(_untried(more, star.union(near)), "pairs")
     return edges.union(_verified(more, sets, similarity))
 
 
@@ -222,8 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are linked if the Jaccard similarity of their sets of shingles is at least ``similarity``,
     counted over the whole sets; component_id is the least id reachable over links.  Candidates are
-    found by min-hash bands (see BANDS for the share that is missed).  Texts with equal sets are
-    collapsed before and given back at the end.
+    found by the SimHash index, over SimHashes of as many words, and by min-hash bands (see BANDS for
+    the share that these miss).  Texts with equal sets are collapsed before and given back at the end.
 
     Null and empty texts are one group.  A null id belongs to its component but is its least id only
     where the component has no other (then null).  Repeated rows give repeated results; an empty

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,12 @@ def _fingerprint(raw: bytes, k: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big")
 
 
+def signed_fingerprint(raw: bytes, shingle_words: int) -> int:
+    """The SimHash of a text's UTF-8 bytes as a signed 64-bit number."""
+    fp = _fingerprint(raw, shingle_words)
+    return fp - (fp >> 63 << 64)
+
+
 def _votes(shingles) -> np.ndarray:
     """How many of the shingles' hashes have each bit."""
     of, seed = xxhash.xxh64_intdigest, SEED
@@ -77,12 +84,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return bytewords.mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, "id long, text_hash long, fp long")
 
 
-def _tree(fps: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join what is within 3 bits among fps (at most BUCKET of them): no more than fps less one."""
+def _tree(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, int]]:
+    """Links that join what is within so many bits among fps (at most BUCKET of one key): no more than fps less one."""
     octets = fps.view(np.uint8).reshape(-1, 8)
     tally = (octets[:, None, :] == octets[None, :, :]).sum(axis=2)  # shared positional bytes of each pair
-    a, b = np.nonzero(np.triu(tally >= SHARED, 1))
-    near = np.bitwise_count(fps[a] ^ fps[b]) <= MOST_BITS
+    a, b = np.nonzero(np.triu(tally >= max(len(TRIPLES[0]), BYTES - most), 1))
+    differ = np.bitwise_count(fps[a] ^ fps[b])
+    near = differ <= most
+    if most > MOST_BITS:  # the closest first, as a further check holds for them sooner
+        near = np.argsort(differ, kind="stable")[: near.sum()]
     root = list(range(len(fps)))
 
     def find(x: int) -> int:
@@ -97,11 +107,11 @@ def _tree(fps: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(fps[x]), int(fps[y])
 
 
-def _edges_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges_of_buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple[int, int]] = []
         for bucket in batch.column("fps"):
-            found.extend(_tree(np.unique(np.asarray(bucket.values).view(np.uint64))))
+            found.extend(_tree(np.unique(np.asarray(bucket.values).view(np.uint64)), most))
         a, b = (np.array(x, np.uint64).view(np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -123,12 +133,12 @@ def _index(fps: DataFrame, tables: list[tuple[int, ...]]) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*(_key(i, t) for i, t in enumerate(tables)))).alias("key"))
 
 
-def _small_and_large(postings: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _small_and_large(postings: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
     """Links within keys of 2 to BUCKET fingerprints, and the postings of larger keys."""
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "_k")
     kept = saved(postings.join(sizes, F.col("key") == F.col("_k")).select("key", "fp", "n"), name)
     buckets = kept.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return bytewords.mapped(buckets, _edges_of_buckets, "a long, b long"), kept.filter(F.col("n") > BUCKET)
+    return bytewords.mapped(buckets, partial(_edges_of_buckets, most=most), "a long, b long"), kept.filter(F.col("n") > BUCKET)
 
 
 def _midpoint_links(large: DataFrame) -> DataFrame:
@@ -162,16 +172,18 @@ def _midpoint_links(large: DataFrame) -> DataFrame:
     return around.join(centre, (F.col("key") == F.col("_k")) & (F.col("mid") == F.col("_m"))).filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Edges (a, b) that join all fingerprints within 3 bits of each other, directly or in steps of at most 3 bits.
 
     fps has distinct values in column fp.  Every edge holds; edges that others imply may be missing.
+    With a larger ``most`` edges of up to that many bits join those that share three bytes of one half
+    too, where at most BUCKET fingerprints do; other pairs of over 3 bits may be missing.
     """
-    edges, large = _small_and_large(_index(fps, TRIPLES), "postings")
+    edges, large = _small_and_large(_index(fps, TRIPLES), "postings", most)
     if large.isEmpty():
         return edges
     # two linked fingerprints of an over-full triple still share 5 positions: index those alone by all 56 choices
-    finer, larger = _small_and_large(_index(large.select("fp").distinct(), list(combinations(range(BYTES), SHARED))), "postings")
+    finer, larger = _small_and_large(_index(large.select("fp").distinct(), list(combinations(range(BYTES), SHARED))), "postings", most)
     edges = edges.union(finer)
     return edges if larger.isEmpty() else edges.union(_midpoint_links(larger))
 

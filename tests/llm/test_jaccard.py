@@ -4,7 +4,8 @@ import corpus_pipeline
 import pytest
 from cases import docs, empty, prose, rows
 
-from ternion.llm import jaccard
+from ternion.llm import jaccard, simhash
+from ternion.llm.components import components
 
 
 def plain(text):
@@ -60,3 +61,33 @@ def test_pipeline_links_edited_copies(spark):
     kept = corpus_pipeline.deduplicate(spark, frame, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted({given[g][0] for g in sets})
     assert len(kept) < 20
+
+
+def test_pipeline_uses_the_simhash_index(spark):
+    """Two texts of similarity 0.8 and 3 SimHash bits that share no min-hash band are found by the index; far ones it finds are verified."""
+    words = "w84492 w76137 w20135 w77858 w21115 w59338 w86514 w32427 w32137 w94268 w94208 w97324"
+    texts = [f"{words} w43078", f"{words} w17847", f"{words} w43078 {words} w43078", prose(9, 40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert components_of([plain(t) for t in texts]) == [0, 0, 2, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, frame, "").collect()) == [0, 2, 3]
+
+
+def test_index_alone(spark):
+    """The index's candidates join texts of one SimHash and of up to BITS bits that share three bytes of one half."""
+    long = prose(11, 2000)
+    texts = [edited(s, 300, e) for s in range(6) for e in (0, 1, 2, 8)] + [long, long + " x", "one two", "One  two", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").fillna("").selectExpr("id", "xxhash64(text) text_hash", "text")
+    each = jaccard._classes(frame.coalesce(1), 5).cache()
+    at = {r.cls: (r.id, r.fp & (1 << 64) - 1) for r in each.collect() if r.fp is not None}
+    assert len(at) == 27 and all(fp == simhash.fingerprint(texts[i], 5) for i, fp in at.values())
+    assert at[each.filter("id = 24").first().cls][1] == at[each.filter("id = 25").first().cls][1]
+
+    def near(x, y):
+        same = [(x ^ y) >> 8 * p & 255 == 0 for p in range(8)]
+        return (x ^ y).bit_count() <= jaccard.BITS and max(sum(same[:4]), sum(same[4:])) >= 3
+
+    want = {(a, b) for a in at for b in at if a < b and near(at[a][1], at[b][1])}
+    pairs = {(r.a, r.b) for r in jaccard._indexed(each, 0.0).collect()}
+    assert pairs <= want and any((at[a][1] ^ at[b][1]).bit_count() > simhash.MOST_BITS for a, b in pairs)
+    roots = [{r.node: r.root for r in components(spark.createDataFrame(sorted(p), "a long, b long")).collect()} for p in (pairs, want)]
+    assert roots[0] == roots[1]
