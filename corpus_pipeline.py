@@ -18,7 +18,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash index over five-word shingles with min-hash bands beside it, whole sets of a similarity of 0.8 or more."""
     return jaccard.representatives(docs)
 
 
