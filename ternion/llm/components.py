@@ -11,20 +11,22 @@ from ternion.llm.common import saved
 MOST_ROUNDS = 60
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node reachable.
 
     Alternates the large-star and small-star steps (Kiveris and others, SoCC 2014): every node's
     neighbours are tied to the least of them, until each component is one star around its least
     node.  A hub costs a pre-aggregated minimum and a join whose skewed side is split, never a list
-    of its neighbours.  Each round is saved to the shared folder, so lost executors cost one round.
+    of its neighbours.  Each round is saved to the shared folder, so lost executors cost one round,
+    in as many ``files`` at most; unset, in one for each partition.
 
     Nodes are 64-bit integers.  No edges: no rows.  Loops (a = b) and repeated edges are allowed;
     edges with a null end are left out.
     """
     tied = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null").distinct()
     loops = tied.filter("a = b")
-    now, before = saved(tied.filter("a <> b"), "edges"), None
+    packed = lambda df: df if files is None else df.coalesce(files)
+    now, before = saved(packed(tied.filter("a <> b")), "edges"), None
     for _ in range(MOST_ROUNDS):
         # large star: neighbours above a node go to the least node around it
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its lower neighbours go to the least of these
         low = large.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_n")
         small = large.join(low, F.col("a") == F.col("_n")).select(F.col("b").alias("a"), F.col("_m").alias("b")).union(low.select("_n", "_m")).filter("a <> b").distinct()
-        now = saved(small, "edges")
+        now = saved(packed(small), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             break

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternion.llm import bytewords
-from ternion.llm.common import saved
+from ternion.llm.common import few_files, saved
 from ternion.llm.components import components
 
 #: Seed of XXH64 for the shingles.
@@ -133,10 +133,11 @@ def _index(fps: DataFrame, tables: list[tuple[int, ...]]) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*(_key(i, t) for i, t in enumerate(tables)))).alias("key"))
 
 
-def _small_and_large(postings: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+def _small_and_large(postings: DataFrame, name: str, most: int, files: int | None) -> tuple[DataFrame, DataFrame]:
     """Links within keys of 2 to BUCKET fingerprints, and the postings of larger keys."""
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "_k")
-    kept = saved(postings.join(sizes, F.col("key") == F.col("_k")).select("key", "fp", "n"), name)
+    kept = postings.join(sizes, F.col("key") == F.col("_k")).select("key", "fp", "n")
+    kept = saved(kept if files is None else kept.repartition(files), name)  # dealt anew, as one task is not to sort for many partitions of the join
     buckets = kept.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     return bytewords.mapped(buckets, partial(_edges_of_buckets, most=most), "a long, b long"), kept.filter(F.col("n") > BUCKET)
 
@@ -172,18 +173,19 @@ def _midpoint_links(large: DataFrame) -> DataFrame:
     return around.join(centre, (F.col("key") == F.col("_k")) & (F.col("mid") == F.col("_m"))).filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def links(fps: DataFrame, most: int = MOST_BITS, files: int | None = None) -> DataFrame:
     """Edges (a, b) that join all fingerprints within 3 bits of each other, directly or in steps of at most 3 bits.
 
     fps has distinct values in column fp.  Every edge holds; edges that others imply may be missing.
     With a larger ``most`` edges of up to that many bits join those that share three bytes of one half
     too, where at most BUCKET fingerprints do; other pairs of over 3 bits may be missing.
+    Postings are saved in as many ``files``; unset, in one for each partition.
     """
-    edges, large = _small_and_large(_index(fps, TRIPLES), "postings", most)
+    edges, large = _small_and_large(_index(fps, TRIPLES), "postings", most, files)
     if large.isEmpty():
         return edges
     # two linked fingerprints of an over-full triple still share 5 positions: index those alone by all 56 choices
-    finer, larger = _small_and_large(_index(large.select("fp").distinct(), list(combinations(range(BYTES), SHARED))), "postings", most)
+    finer, larger = _small_and_large(_index(large.select("fp").distinct(), list(combinations(range(BYTES), SHARED))), "postings", most, files)
     edges = edges.union(finer)
     return edges if larger.isEmpty() else edges.union(_midpoint_links(larger))
 
@@ -200,8 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows give repeated results; an empty table gives none; other columns are ignored.
     """
     each = saved(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    classes = each.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = saved(components(links(saved(classes.select("fp"), "classes"))), "roots")
+    classes, files = each.groupBy("fp").agg(F.min("id").alias("least")), few_files(each)
+    fps = saved(classes.select("fp").coalesce(files), "classes")
+    roots = saved(components(links(fps, files=files), files).coalesce(files), "roots")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
     named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), F.col("root").alias("group"), "component_id")

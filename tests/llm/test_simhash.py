@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 import xxhash
 from cases import docs, empty, rows
+from conftest import TINY
 
-from ternion.llm import simhash
+from ternion.llm import components as components_module
+from ternion.llm import queries, simhash
 from ternion.llm.components import components
 
 
@@ -47,6 +49,32 @@ def test_against_all_pairs(spark, extra):
     assert got == want
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, what is saved of few rows has a file for each core at most."""
+    files, given = [], simhash.saved
+
+    def counted(df, name):
+        out = given(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    for module in (simhash, components_module):
+        monkeypatch.setattr(module, "saved", counted)
+    wide = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        got = sorted((str(r.id), str(r.component_id)) for r in simhash.near_duplicates(docs(spark).coalesce(2)).collect())
+        parts = queries.op2_simhash(spark, TINY).rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted((str(r.id), str(r.component_id)) for r in simhash.near_duplicates(docs(spark)).collect())
+    assert {name for name, _ in files} == {"fingerprints", "classes", "postings", "edges", "roots"}
+    assert max(parts, *(n for _, n in files)) <= spark.sparkContext.defaultParallelism, (parts, files)
+
+
 def test_fingerprint_of_short_texts():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
     assert simhash.fingerprint("One two") == xxhash.xxh64_intdigest(b"one two", 42)
