@@ -52,6 +52,12 @@ class Planner:
     def _one(self) -> Solution:
         return Solution(self.data.spark.range(1).select(F.lit(1).alias("_one")), {})
 
+    def _beside(self, node: object) -> Solution:
+        """The right part of OPTIONAL or MINUS, whose left one has the outer values: joined to them also here, a pattern that shares no variable with them would be a product."""
+        if self.seed is not None and not _beyond(node, set(self.seed.infos)):
+            return self._under(None, node)
+        return self.solve(node)
+
     # patterns
 
     def _bgp(self, node: a.BGP) -> Solution:
@@ -74,7 +80,7 @@ class Planner:
         return joins.join(self.solve(left), self._under(None, right) if isinstance(right, _LEAVES) else self.solve(right))
 
     def _leftjoin(self, node: a.LeftJoin) -> Solution:
-        left, right = self.solve(node.left), self.solve(node.right)
+        left, right = self.solve(node.left), self._beside(node.right)
         if node.condition is None:
             return joins.left_join(left, right)
         if a.has_exists(node.condition):
@@ -173,7 +179,7 @@ class Planner:
         return joins.union(self.solve(node.left), self.solve(node.right))
 
     def _minus(self, node: a.Minus) -> Solution:
-        return joins.minus(self.solve(node.left), self.solve(node.right), set(self.seed.infos) if self.seed else set())
+        return joins.minus(self.solve(node.left), self._beside(node.right), set(self.seed.infos) if self.seed else set())
 
     def _extend(self, node: a.Extend) -> Solution:
         out = self.solve(node.child)

@@ -49,6 +49,12 @@ def test_plans(spark):
     assert plan.count("FileScan") == 4 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_exists_optional_plan(spark):
+    """The optional part isn't paired with each value of the outer pattern."""
+    plan = queries.queries()["exists_optional"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_benchmark_graphs(spark):
     from ternion.engine import Engine
     from ternion.sources import generators
