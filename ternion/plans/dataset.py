@@ -35,19 +35,19 @@ class Dataset:
         names = sorted(set().union(*(term_names(x) for x in (triple.s, triple.p, triple.o))))
         return reduce(union, found) if found else self.nothing(names)
 
-    def units(self, triples: tuple[Triple, ...], mentions: dict[str, int]) -> list[tuple[float, Solution]]:
-        """The patterns as solutions to be joined, each with its estimated size.
+    def units(self, triples: tuple[Triple, ...], mentions: dict[str, int]) -> list[tuple[float, Solution, set[str]]]:
+        """The patterns as solutions to be joined, each with its estimated size and the variables of which a value has one row.
 
         Over mapped tables all patterns of one subject are a single scan.  Its subject is left out
         where nothing else mentions it.
         """
         if self.mapping is None or self.store is not None:
-            return [(self._size(t), self.match(t)) for t in triples]
+            return [(self._size(t), self.match(t), set()) for t in triples]
         stars: dict[object, list[Triple]] = {}
         units = []
         for t in triples:
             if isinstance(t.p, Var):
-                units.append((1e18, self.match(t)))
+                units.append((1e18, self.match(t), set()))
             else:
                 stars.setdefault(t.s, []).append(t)
         for subject, star in stars.items():
@@ -57,10 +57,10 @@ class Dataset:
             found = self.mapping.star(subject, pairs, need)
             if found is None:
                 names = sorted(set().union(*(term_names(x) for t in star for x in (t.s, t.o))))
-                units.append((0.0, self.nothing(names)))
+                units.append((0.0, self.nothing(names), set()))
             else:
                 fixed = sum(not isinstance(o, Var | Blank) for p, o in pairs if "type" not in p.value) + (name is None) * 3
-                units.append((self.mapping.size(pairs) / 10**fixed, found))
+                units.append((self.mapping.size(pairs) / 10**fixed, found, {name} & found.infos.keys() if self.mapping.keyed(pairs) else set()))
         return units
 
     def _size(self, t: Triple) -> float:

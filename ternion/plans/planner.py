@@ -65,10 +65,17 @@ class Planner:
             return self._one()
         units = self.data.units(node.triples, self.mentions)
         units.sort(key=lambda u: u[0])
-        out = units.pop(0)[1]
-        while units:  # the smallest that shares a variable, so that products come last
-            i = next((i for i, u in enumerate(units) if u[1].infos.keys() & out.infos.keys()), 0)
-            out = joins.join(out, units.pop(i)[1])
+        _, out, keys = units.pop(0)
+        while units:
+            # the smallest of those that meet in a key of either side, where no row is multiplied on both;
+            # then of those that share another variable, so that products come last
+            shared = [u[1].infos.keys() & out.infos.keys() for u in units]
+            i = next((i for i, u in enumerate(units) if shared[i] & (keys | u[2])), None)
+            if i is None:
+                i = next((i for i, x in enumerate(shared) if x), 0)
+            _, unit, own = units.pop(i)
+            keys = (keys if shared[i] & own else set()) | (own if shared[i] & keys else set())
+            out = joins.join(out, unit)
         return out
 
     def _path(self, node: a.Path) -> Solution:

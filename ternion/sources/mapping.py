@@ -53,6 +53,11 @@ def table(df: DataFrame, name: str, key: str | None, base: str, links: dict[str,
     return Table(df, f"{base}{name}/", base + name.capitalize(), key, fields)
 
 
+def _bytes(tab: Table) -> float:
+    """A table's size from its plan's statistics."""
+    return float(str(tab.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Mapping:
     """The graph of some tables."""
 
@@ -155,10 +160,14 @@ class Mapping:
     def match(self, triple: Triple) -> Solution | None:
         return self.star(triple.s, [(triple.p, triple.o)])
 
+    def _having(self, pairs: list[tuple[object, object]]) -> list[Table]:
+        """The tables that have these predicates."""
+        return [tab for tab in self.tables if all(isinstance(p, Var) or p.value in tab.fields or p.value == t.TYPE and (not isinstance(o, IRI) or o.value == tab.type) for p, o in pairs)]
+
     def size(self, pairs: list[tuple[object, object]]) -> float:
         """Bytes of the tables that have these predicates, from their plans' statistics; no job is run."""
-        total = 0.0
-        for tab in self.tables:
-            if all(isinstance(p, Var) or p.value in tab.fields or p.value == t.TYPE and (not isinstance(o, IRI) or o.value == tab.type) for p, o in pairs):
-                total += float(str(tab.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return total
+        return sum(_bytes(tab) for tab in self._having(pairs))
+
+    def keyed(self, pairs: list[tuple[object, object]]) -> bool:
+        """Whether a subject of these predicates is taken to have one row; only the order of joins rests on it."""
+        return all(tab.key for tab in self._having(pairs))

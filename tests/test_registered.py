@@ -55,6 +55,13 @@ def test_exists_optional_plan(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_triangle_plan(spark):
+    """Suppliers and customers, who share a nation only, aren't paired: lines lead from one to the other."""
+    plan = queries.queries()["bgp_triangle"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 3 and sum("_k#" in line for line in joins) == 1 and "_c#" in next(line for line in joins if "_k#" in line)
+
+
 def test_benchmark_graphs(spark):
     from ternion.engine import Engine
     from ternion.sources import generators
