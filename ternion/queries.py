@@ -366,7 +366,7 @@ def _merged(spark: SparkSession, s: DataFrame, nation) -> DataFrame:
     facts = facts.union(s.select(*_triple(iri, f"{BASE}name", F.col("s_name"), True)))
     facts = facts.union(spark.createDataFrame([(IRI_KIND, f"{BASE}at", TYPE, IRI_KIND, "http://www.w3.org/2002/07/owl#InverseFunctionalProperty", "", "")], facts.schema))
     rules = rules_of("custom", names=("prp_ifp", "eq_sym", "eq_trans", "eq_rep_s"))
-    return fixpoint.materialize(facts, rules).derived.filter(F.col("p") == f"{BASE}name").select("s", "v")
+    return fixpoint.materialize(facts, rules, spread=False).derived.filter(F.col("p") == f"{BASE}name").select("s", "v")
 
 
 #: Facts of the queries of single rules: nations in regions and the reverse, what they are, and customers in nations.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ternion import terms as t
 from ternion.errors import LimitError
 from ternion.plans.checkpoints import saved
+from ternion.reason import equality
 from ternion.reason.rules import Pattern, Rule
 from ternion.sources.store import COLUMNS
 
@@ -26,7 +27,7 @@ _SEP = "\x1f"
 @dataclass(frozen=True)
 class Result:
     derived: DataFrame  # in the store's columns
-    count: int
+    count: int | None  # None: not counted
     rounds: int
 
 
@@ -164,9 +165,15 @@ def _result(triples: DataFrame, found: DataFrame | None, rounds: int) -> Result:
     return Result(found, found.count(), rounds)
 
 
-def materialize(triples: DataFrame, rules: list[Rule]) -> Result:
-    """All triples that the rules derive from the given ones (in the store's columns), which are not among them."""
+def materialize(triples: DataFrame, rules: list[Rule], spread: bool = True) -> Result:
+    """All triples that the rules derive from the given ones (in the store's columns), which are not among them.
+
+    spread: False leaves what follows from equality in its classes, to be made when and as far as it is read.
+    """
     facts = saved(encoded(triples).distinct(), "facts")
+    if equality.fits(rules):
+        found, rounds = equality.derived(facts, rules)
+        return _result(triples.select(*COLUMNS), found, rounds) if spread else Result(decoded(found), None, rounds)
     return _result(triples.select(*COLUMNS), *_closed(rules, facts, facts))
 
 
