@@ -32,26 +32,29 @@ def _cell(x: object, sol: Solution, row_id: Column | None) -> Column:
     return F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(dt).alias("dt"), F.lit(lang).alias("lang"))
 
 
-def instantiate(template: tuple[Triple, ...], sol: Solution) -> DataFrame:
+def instantiate(template: tuple[Triple, ...], sol: Solution, parts: int = 1) -> DataFrame:
     """The distinct triples (columns of the store) of a template over all solutions.
 
     Triples with an unbound part, a literal subject or a predicate that is no IRI are left out.
+    parts: tasks among which they are dealt out to be told apart; 1 leaves it to Spark, which goes by compressed bytes.
     """
     blank = any(isinstance(x, Blank) for tr in template for x in (tr.s, tr.o))
     df = sol.df.withColumn("_row", F.monotonically_increasing_id()) if blank else sol.df
     row_id = F.col("_row") if blank else None
     made = [F.struct(_cell(tr.s, sol, row_id).alias("s"), _cell(tr.p, sol, row_id).alias("p"), _cell(tr.o, sol, row_id).alias("o")) for tr in template]
     rows = df.select(F.explode(F.array(*made)).alias("t")).filter(f"t.s is not null and t.p is not null and t.o is not null and t.s.k <> {t.LITERAL} and t.p.k = {t.IRI_KIND}")
-    return rows.select(F.col("t.s.k").alias("sk"), F.col("t.s.v").alias("s"), F.col("t.p.v").alias("p"), F.col("t.o.k").alias("k"), F.col("t.o.v").alias("v"), F.col("t.o.dt").alias("dt"), F.col("t.o.lang").alias("lang")).distinct()
+    rows = rows.select(F.col("t.s.k").alias("sk"), F.col("t.s.v").alias("s"), F.col("t.p.v").alias("p"), F.col("t.o.k").alias("k"), F.col("t.o.v").alias("v"), F.col("t.o.dt").alias("dt"), F.col("t.o.lang").alias("lang"))
+    return (rows.repartition(parts, *COLUMNS) if parts > 1 else rows).distinct()
 
 
-def _as_triples(sol: Solution) -> DataFrame:
+def _as_triples(sol: Solution, parts: int = 1) -> DataFrame:
     """Solutions of _s, _p, _o as triples."""
-    return instantiate((Triple(Var("_s"), Var("_p"), Var("_o")),), sol)
+    return instantiate((Triple(Var("_s"), Var("_p"), Var("_o")),), sol, parts)
 
 
 def all_triples(data: Dataset) -> DataFrame:
-    return _as_triples(data.match(Triple(Var("_s"), Var("_p"), Var("_o"))))
+    parts = data.mapping.parts() if data.mapping is not None and data.store is None else 1
+    return _as_triples(data.match(Triple(Var("_s"), Var("_p"), Var("_o"))), parts)
 
 
 def describe(query: Query, sol: Solution | None, data: Dataset) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,6 +16,11 @@ from ternion.plans.algebra import Triple, blank_name
 from ternion.plans.solution import Info, Solution
 from ternion.terms import IRI, Blank, Var
 
+#: Bytes of a table's files times its fields that one task takes when every field becomes a triple: a tenth of what they take in memory or less.
+CELL_BYTES = 8 << 20
+#: Partitions beyond which a size is taken for unknown (as of a table in memory).
+MOST_PARTS = 100_000
+
 _KINDS = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "double", "double": "double", "string": "string", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "date"}
 
 
@@ -58,6 +64,12 @@ def _bytes(tab: Table) -> float:
     return float(str(tab.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _parts(tab: Table) -> int:
+    """Tasks among which a table's triples are dealt out: compressed files hold many more rows than their bytes tell.  1: as it comes."""
+    n = math.ceil(_bytes(tab) * (len(tab.fields) + 1) / CELL_BYTES)
+    return n if n <= MOST_PARTS else 1
+
+
 class Mapping:
     """The graph of some tables."""
 
@@ -139,6 +151,8 @@ class Mapping:
             df = df.filter(F.col("_key") == F.lit(key).cast(tab.template.type))
         elif isinstance(subject, t.Literal):
             return None
+        if tab.key and (parts := _parts(tab)) > 1:  # rows without a key come from a shuffle of their own
+            df = df.repartition(parts, "_key")
         cells = [F.struct(F.lit(name).alias("p"), as_term(Value(f.info.kind, self._column(f), f.info.template)).alias("o")) for name, f in tab.fields.items()]
         if tab.type:
             cells.append(F.struct(F.lit(t.TYPE).alias("p"), as_term(Value("iri", F.lit(tab.type))).alias("o")))
@@ -168,6 +182,10 @@ class Mapping:
         """Bytes of the tables that have these predicates, from their plans' statistics; no job is run."""
         return sum(_bytes(tab) for tab in self._having(pairs))
 
+    def parts(self) -> int:
+        """Tasks among which all triples are dealt out."""
+        return sum(_parts(tab) for tab in self.tables)
+
     def keyed(self, pairs: list[tuple[object, object]]) -> bool:
         """Whether a subject of these predicates is taken to have one row; only the order of joins rests on it."""
         return all(tab.key for tab in self._having(pairs))

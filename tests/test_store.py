@@ -183,3 +183,23 @@ def test_stream(spark, tmp_path):
     (source / "2.nt").write_text(f"<http://e/B> {sub} <http://e/C> .\n<http://e/x> <{RDF}type> <http://e/A> .\n")
     ingest(e, str(source), str(tmp_path / "ck"), rules_of("rdfs")).awaitTermination()
     assert {r.t for r in e.sparql(P + "SELECT ?t { :x a ?t }").collect()} == {E + c for c in "ABC"}
+
+
+def test_triples_of_tables_are_dealt_out(spark, tmp_path):
+    """A table in one small file has many rows: its triples are not all told apart in one task."""
+    from pyspark.sql import functions as F
+
+    from ternion.sources import mapping
+
+    rows = spark.range(200_000).select("id", F.concat(F.lit("name"), F.col("id") % 1000).alias("name"))
+    rows.union(rows.limit(5)).coalesce(1).write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t")
+    tab = mapping.table(frame, "t", "id", "http://e/")
+    before, mapping.CELL_BYTES = mapping.CELL_BYTES, mapping._bytes(tab) * 3 / 7
+    try:
+        made = Engine(spark, [tab]).triples()
+    finally:
+        mapping.CELL_BYTES = before
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and ", 7), REPARTITION_BY_NUM" in plan
+    assert made.count() == made.distinct().count() == 600_000
