@@ -133,19 +133,29 @@ def derive(rules: Iterable[Rule], facts: DataFrame, delta: DataFrame, known: set
 def _closed(rules: list[Rule], facts: DataFrame, delta: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame | None, int]:
     """All new facts, round by round; ``only`` restricts them.  Each round saves the new ones alone."""
     new_facts: list[DataFrame] = []
+    since: list[DataFrame] = []  # those not yet taken out of only
+    wanted: list[str] = []
+    if only is not None:  # what is looked for, so that no round compares all that is derived with all facts
+        only = saved(only.join(facts, SPO, "left_anti"), "only")
+        wanted = [r.p for r in only.select("p").distinct().collect()]
     rounds, vocabulary, schema = 0, _vocabulary(facts), saved(schema_of(facts), "schema")
     while rounds < MOST_ROUNDS:
         made = derive(rules, facts, delta, vocabulary, schema)
         if made is None:
             break
-        made = made.distinct().join(facts, SPO, "left_anti")
-        if only is not None:
-            made = made.join(only, SPO, "left_semi")
+        if only is None:
+            made = made.distinct().join(facts, SPO, "left_anti")
+        else:
+            # the predicates reach the scans and leave out rules that give others
+            made = only.join(made.filter(F.col("p").isin(wanted)), SPO, "left_semi")
+            if since:
+                made = made.join(reduce(DataFrame.unionAll, since), SPO, "left_anti")
         rounds += 1
         delta = saved(made, "delta")
         if delta.isEmpty():
             break
         new_facts.append(delta)
+        since.append(delta)
         facts = facts.unionAll(delta)
         more = _vocabulary(delta)
         if more & _SCHEMA or any(x.startswith(t.OWL) for x in more):
@@ -153,6 +163,8 @@ def _closed(rules: list[Rule], facts: DataFrame, delta: DataFrame, only: DataFra
         vocabulary |= more
         if rounds % 8 == 0:  # many folders are read as one again
             facts = saved(facts, "facts")
+            if only is not None:
+                only, since = saved(only.join(reduce(DataFrame.unionAll, since), SPO, "left_anti"), "only"), []
     else:
         raise LimitError(f"no fixpoint after {MOST_ROUNDS} rounds")
     return (reduce(DataFrame.unionAll, new_facts) if new_facts else None), rounds
@@ -183,7 +195,7 @@ def add(triples: DataFrame, derived: DataFrame, more: DataFrame, rules: list[Rul
     new = saved(encoded(more).distinct().join(known, SPO, "left_anti"), "delta")
     if new.isEmpty():
         return Result(triples.limit(0), 0, 0)
-    return _result(triples, *_closed(rules, saved(known.unionAll(new), "facts"), new))
+    return _result(triples, *_closed(rules, known.unionAll(new), new))
 
 
 def remove(triples: DataFrame, derived: DataFrame, gone: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -195,12 +207,11 @@ def remove(triples: DataFrame, derived: DataFrame, gone: DataFrame, rules: list[
     explicit = saved(encoded(triples).distinct(), "facts")
     old = saved(encoded(derived).distinct(), "derived")
     lost = saved(encoded(gone).distinct().join(explicit, SPO, "left_semi"), "gone")
-    kept = saved(explicit.join(lost, SPO, "left_anti"), "facts")
-    every = saved(explicit.unionAll(old).distinct(), "facts")
-    known = _vocabulary(every)
+    every = explicit.unionAll(old)
+    known, schema = _vocabulary(every), saved(schema_of(every), "schema")
     doubtful, delta = lost, lost
     for _ in range(MOST_ROUNDS):
-        made = derive(rules, every, delta, known)
+        made = derive(rules, every, delta, known, schema)
         if made is None:
             break
         delta = saved(made.distinct().join(old, SPO, "left_semi").join(doubtful, SPO, "left_anti"), "delta")
@@ -209,11 +220,12 @@ def remove(triples: DataFrame, derived: DataFrame, gone: DataFrame, rules: list[
         doubtful = saved(doubtful.unionAll(delta), "doubtful")
     else:
         raise LimitError(f"no fixpoint after {MOST_ROUNDS} rounds")
-    sure = saved(kept.unionAll(old.join(doubtful, SPO, "left_anti")).distinct(), "facts")
+    kept = explicit.join(lost, SPO, "left_anti")
+    # without those that are explicit as well
+    left = saved(old.join(doubtful, SPO, "left_anti").join(kept, SPO, "left_anti"), "left")
+    sure = saved(kept, "facts").unionAll(left)
     again, _ = _closed(rules, sure, sure, only=doubtful)
-    left = old.join(doubtful, SPO, "left_anti")
-    left = left if again is None else left.unionAll(again)
-    return saved(decoded(left.distinct().join(kept, SPO, "left_anti")), "derived")
+    return saved(decoded(left if again is None else left.unionAll(again)), "derived")
 
 
 def condition(name: str, *columns: Column) -> Column:

@@ -192,3 +192,17 @@ def test_same_as_makes_no_cubes(spark):
         assert fixpoint.materialize(facts, rules).count == 400 * 400 and not made
     finally:
         fixpoint.derive = before
+
+
+def test_removal_reads_the_schema_apart(spark, monkeypatch):
+    """Deletion and re-derivation take schema patterns from a table of their own, over more rounds than are read apart."""
+    seen = []
+    before = fixpoint.derive
+    monkeypatch.setattr(fixpoint, "derive", lambda rules, facts, delta, known, schema=None: seen.append(schema is not None) or before(rules, facts, delta, known, schema))
+    rules = rules_of("custom", names=("prp_spo1", "prp_inv1", "scm_spo"))
+    facts = [e(f"p{i}", SPO, f"p{i + 1}") for i in range(3)] + [e("x", "p0", "y"), e("x", "p1", "y"), e("q", SPO, "p1"), e("x", "q", "y"), e("p3", OWL + "inverseOf", "r")]
+    gone = facts[:1]
+    derived = fixpoint.materialize(frame(spark, facts), rules).derived
+    seen.clear()
+    left = found(fixpoint.remove(frame(spark, facts), derived, frame(spark, gone), rules))
+    assert left == closure([f for f in facts if f not in gone], rules) and seen and all(seen)
